@@ -79,3 +79,12 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """A few rows as literals in the plan."""
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
+
+
+def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """raw with a space after each text, and the texts' offsets there (ends without the space)."""
+    n = len(offsets) - 1
+    out = np.full(len(raw) + n, 32, np.uint8)
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    out[np.arange(len(raw)) + row] = raw
+    return out, offsets + np.arange(n + 1)
