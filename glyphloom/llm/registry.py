@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, quality, simhash, urls
+from . import chat, media, quality, secrets, simhash, urls
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_telephony_audio": media.op4_telephony_audio,
+    "op5_secret_scans": secrets.op5_secret_scans,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_url_filters": urls.op10_url_filters,
