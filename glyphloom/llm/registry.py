@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, media, quality, secrets, simhash, urls
+from . import chat, media, mixing, packing, quality, secrets, simhash, urls
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_telephony_audio": media.op4_telephony_audio,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_mixing": mixing.op7_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_url_filters": urls.op10_url_filters,
