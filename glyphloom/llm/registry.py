@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, quality, secrets, simhash, urls
+from . import chat, language, media, mixing, packing, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_telephony_audio": media.op4_telephony_audio,
     "op5_secret_scans": secrets.op5_secret_scans,
