@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import spaced, text_chunks
 
 #: Odd multipliers of a code point by its distance from the end, from a fixed seed.
 MULTIPLIERS = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -28,25 +28,42 @@ _LOWER = np.arange(START + 1, dtype=np.uint32)
 _LOWER[:0x10000] = [ord(c) if len(c) == 1 else i for i, c in enumerate(map(str.lower, map(chr, range(0x10000))))]
 
 
-def padded(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of the texts, order - 1 start marks before each, and the texts' first
-    places (after the marks) and last places plus one, as rows of two."""
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case code points of UTF-8 texts, and the texts' offsets in them."""
     cps = _LOWER[np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
-    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
-    n, pad = len(offsets) - 1, order - 1
-    out = np.full(len(cps) + n * pad, START, np.uint32)
-    out[np.arange(len(cps)) + np.repeat(np.arange(1, n + 1) * pad, np.diff(chars))] = cps
-    first = chars[:-1] + np.arange(1, n + 1) * pad
-    return out, np.stack((first, first + np.diff(chars)), 1)
-
-
-def keys(cps: np.ndarray, order: int, context: bool = False) -> np.ndarray:
-    """Keys of the n-grams that end at each place from order - 1 on (their contexts': without the last code point)."""
-    n = len(cps) - order + 1
-    total = np.zeros(max(n, 0), np.uint64)
+    return cps, np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
+
+
+def text_sequences(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with order - 1 start marks before each: code points, the places to score, and how
+    many of them each text has."""
+    cps, at = code_points(raw, offsets)
+    size = np.diff(at)
+    places = np.arange(len(cps)) + np.repeat(np.arange(1, len(size) + 1) * (order - 1), size)
+    out = np.full(len(cps) + len(size) * (order - 1), START, np.uint32)
+    out[places] = cps
+    return out, places, size
+
+
+def word_sequences(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like text_sequences, but each word is a sequence of its own, closed by a space."""
+    cps, at = code_points(*spaced(raw, offsets))
+    gap = (cps == 32) | ((cps >= 9) & (cps <= 13))
+    before = np.concatenate(([True], gap[:-1]))
+    keep = ~gap | ~before
+    word = np.cumsum(~gap & before)[keep]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))[keep]
+    places = np.arange(len(word)) + word * (order - 1)
+    out = np.full(len(word) + (word[-1] if len(word) else 0) * (order - 1), START, np.uint32)
+    out[places] = np.where(gap, 32, cps)[keep]
+    return out, places, np.bincount(row, minlength=len(offsets) - 1)
+
+
+def keys(cps: np.ndarray, places: np.ndarray, order: int, context: bool = False) -> np.ndarray:
+    """Keys of the n-grams that end at the places (their contexts': without the last code point)."""
+    total = np.zeros(len(places), np.uint64)
     for k in range(int(context), order):
-        at = order - 1 - k
-        total += (cps[at : at + n].astype(np.uint64) + np.uint64(1)) * MULTIPLIERS[k]
+        total += (cps[places - k].astype(np.uint64) + np.uint64(1)) * MULTIPLIERS[k]
     return total
 
 
@@ -78,55 +95,39 @@ class SortedKeys:
 
 
 class Model:
-    """classes; for each order from 1: (SortedKeys, log-probabilities by class), (SortedKeys, log backoff weights by class)."""
-
-    def __init__(self, classes: list[str], grams: list, contexts: list, unseen: np.ndarray):
-        self.classes, self.grams, self.contexts, self.unseen = classes, grams, contexts, unseen
-        self.order = len(grams)
-
-    def log_probabilities(self, cps: np.ndarray) -> np.ndarray:
-        """For each place from order - 1 on, each class's log-probability of the code point there."""
-        top = self.order
-        out = np.zeros((max(0, len(cps) - top + 1), len(self.classes)), np.float32)
-        todo = None
-        for n in range(top, 0, -1):
-            k = keys(cps[top - n :], n) if todo is None else self._at(cps, todo, n)
-            place = self.grams[n - 1][0].find(k)
+    """classes; for each order from 1: (SortedKeys, log-probabilities by class), (SortedKeys, log backoff
+    weights by class). sequences says how texts are cut."""
+
+    def __init__(self, classes: list[str], grams: list, contexts: list, unseen: np.ndarray, sequences=text_sequences):
+        self.classes, self.grams, self.contexts, self.unseen, self.sequences = classes, grams, contexts, unseen, sequences
+
+    def log_probabilities(self, cps: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Each class's log-probability of the code point at each place."""
+        out = np.zeros((len(places), len(self.classes)), np.float32)
+        todo = np.arange(len(places))
+        for n in range(len(self.grams), 0, -1):
+            found, values = self.grams[n - 1]
+            place = found.find(keys(cps, places[todo], n))
             hit = place >= 0
-            rows = hit if todo is None else todo[hit]
-            out[rows] += self.grams[n - 1][1][place[hit]]
-            miss = np.flatnonzero(~hit)
-            todo = miss if todo is None else todo[miss]
-            if not len(todo):
-                break
-            if n == 1:
-                out[todo] += self.unseen
-                break
-            ctx = self.contexts[n - 1][0].find(self._at(cps, todo, n, True))
-            known = ctx >= 0
-            out[todo[known]] += self.contexts[n - 1][1][ctx[known]]
+            out[todo[hit]] += values[place[hit]]
+            todo = todo[~hit]
+            if n > 1 and len(todo):
+                found, values = self.contexts[n - 1]
+                place = found.find(keys(cps, places[todo], n, True))
+                hit = place >= 0
+                out[todo[hit]] += values[place[hit]]
+        out[todo] += self.unseen
         return out
 
-    def _at(self, cps: np.ndarray, places: np.ndarray, order: int, context: bool = False) -> np.ndarray:
-        total = np.zeros(len(places), np.uint64)
-        for k in range(int(context), order):
-            total += (cps[places + self.order - 1 - k].astype(np.uint64) + np.uint64(1)) * MULTIPLIERS[k]
-        return total
-
     def text_sums(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text, each class's total log-probability, and the text's code points."""
-        cps, bounds = padded(raw, offsets, self.order)
-        size = bounds[:, 1] - bounds[:, 0]
-        total = np.zeros((len(size), len(self.classes)))
-        some = np.flatnonzero(size)
+        """For each text, each class's total log-probability, and how many code points that is."""
+        cps, places, size = self.sequences(raw, offsets, len(self.grams))
+        total, some = np.zeros((len(size), len(self.classes))), np.flatnonzero(size)
         if len(some):
-            lp = self.log_probabilities(cps)
-            # places of the marks between texts are left out
-            edges = (bounds[some] - (self.order - 1)).reshape(-1)
-            if edges[-1] == len(lp):
-                edges = edges[:-1]
+            lp = self.log_probabilities(cps, places)
+            edges = (np.cumsum(size) - size)[some]
             for c in range(lp.shape[1]):
-                total[some, c] = np.add.reduceat(lp[:, c], edges, dtype=np.float64)[::2]
+                total[some, c] = np.add.reduceat(lp[:, c], edges, dtype=np.float64)
         return total, size
 
 
@@ -144,7 +145,7 @@ def sample(df: DataFrame, label: Column, key: Column, rows: int, held: int = 0)
     return d.withColumn("__u", u).where(F.col("__u") < b).withColumn("slice", (F.col("__u") >= a).cast("int") if held else F.lit(0)).drop("__u")
 
 
-def count_grams(df: DataFrame, order: int, text: str = "text") -> DataFrame:
+def count_grams(df: DataFrame, order: int, text: str = "text", sequences=text_sequences) -> DataFrame:
     """df: cls, text. Returns cls, gram (code points as 4-byte integers), n."""
     d = df.select("cls", F.col(text).alias("__text"))
 
@@ -153,15 +154,13 @@ def count_grams(df: DataFrame, order: int, text: str = "text") -> DataFrame:
             names = batch.column(0).dictionary_encode()
             own = names.indices.to_numpy()
             for lo, hi, raw, offsets in text_chunks(batch, "__text"):
-                cps, bounds = padded(raw, offsets, order)
-                size = bounds[:, 1] - bounds[:, 0]
-                place = np.repeat(bounds[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                if not len(place):
+                cps, places, size = sequences(raw, offsets, order)
+                if not len(places):
                     continue
                 cls = np.repeat(own[lo:hi], size)
-                k = keys(cps, order)[place - order + 1] + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                k = keys(cps, places, order) + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 _, at, n = np.unique(k, return_index=True, return_counts=True)
-                grams = np.stack([cps[place[at] - order + 1 + i] for i in range(order)], 1).astype("<u4")
+                grams = np.stack([cps[places[at] - order + 1 + i] for i in range(order)], 1).astype("<u4")
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * order), len(at), [None, pa.py_buffer(grams.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(cls[at])), flat, pa.array(n)], ["cls", "gram", "n"])
 
@@ -173,55 +172,72 @@ def _discount(n: np.ndarray) -> float:
     return once / (once + 2 * twice) if once and twice else 0.75
 
 
-def build(counts: DataFrame, order: int, shared: bool = False, classes: list[str] | None = None) -> Model:
-    """The model of count_grams' rows. With shared, orders under the highest count all classes together."""
+def read_counts(counts: DataFrame, order: int, classes: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """count_grams' rows on the driver (as many as the sample has at most): for each class, distinct
+    n-grams as rows of code points, and their counts."""
     t = counts.toArrow()
     names = np.asarray(t["cls"].to_pylist(), object)
-    classes = classes or sorted(set(names))
     grams = np.frombuffer(b"".join(t["gram"].to_pylist()), "<u4").reshape(-1, order)
     number = t["n"].to_numpy()
-    return _assemble([(grams[names == c], number[names == c]) for c in classes], classes, order, shared)
+    return [(grams[names == c], number[names == c]) for c in classes]
 
 
-def _assemble(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[str], order: int, shared: bool) -> Model:
+def kneser_ney(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[str], order: int, sequences=text_sequences) -> Model:
+    """The model of each class's counts."""
     every = np.concatenate([g for g, _ in by_class]) if by_class else np.empty((0, order), np.uint32)
     symbols = len(np.unique(every)) + 1
     lower = np.full((1, len(classes)), 1.0 / symbols)  # order 0: any code point
     lower_keys = np.zeros(1, np.uint64)
-    out_grams, out_contexts, unseen = [], [], None
+    out_grams, out_contexts, unseen = [], [], np.full(len(classes), -np.log(symbols))
     for n in range(1, order + 1):
         part = every[:, order - n :]
         union, at = np.unique(_hash(part), return_index=True)
-        ctx, suffix = _hash(part[at], 1), _hash(part[at][:, 1:])
-        contexts, where = np.unique(ctx, return_inverse=True)
-        own = np.zeros((len(union), len(classes)))
-        discount = np.zeros(len(classes))
-        whole = n == order
-        sources = by_class if whole or not shared else [(every, None)]
-        for c, (grams, number) in enumerate(sources):
-            if whole:
+        suffix = _hash(part[at][:, 1:])
+        contexts, where = np.unique(_hash(part[at], 1), return_inverse=True)
+        own, discount = np.zeros((len(union), len(classes))), np.zeros(len(classes))
+        for c, (grams, number) in enumerate(by_class):
+            if n == order:
                 k, value = _hash(grams), number.astype(np.float64)
             else:  # how many different code points come before
-                longer, first = np.unique(_hash(grams[:, order - n - 1 :]), return_index=True)
+                _, first = np.unique(_hash(grams[:, order - n - 1 :]), return_index=True)
                 k, value = np.unique(_hash(grams[first][:, order - n :]), return_counts=True)
-            own[np.searchsorted(union, k), c] += value
+            own[np.searchsorted(union, k), c] = value
             discount[c] = _discount(value)
-        if shared and not whole:
-            own[:], discount[:] = own[:, :1], discount[0]
-        total, kinds = np.zeros((len(contexts), len(classes))), np.zeros((len(contexts), len(classes)))
-        np.add.at(total, where, own)
-        np.add.at(kinds, where, own > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(total > 0, discount * kinds / total, 1.0)
-            direct = np.where(total[where] > 0, np.maximum(own - discount, 0) / total[where], 0.0)
-        base = lower[np.searchsorted(lower_keys, suffix)]
-        p = direct + weight[where] * base
-        if n == 1:
-            unseen = np.log(weight[0] / symbols) if len(weight) else np.full(len(classes), -np.log(symbols))
+        total, kinds = _sums(own, where, len(contexts)), _sums(own > 0, where, len(contexts))
+        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+        p = np.maximum(own - discount, 0) / np.maximum(total, 1)[where] + weight[where] * lower[np.searchsorted(lower_keys, suffix)]
+        if n == 1 and len(weight):
+            unseen = np.log(weight[0] / symbols)
         out_grams.append((SortedKeys(union), np.log(p).astype(np.float32)))
         out_contexts.append((SortedKeys(contexts), np.log(weight).astype(np.float32)))
         lower, lower_keys = p, union
-    return Model(classes, out_grams, out_contexts, np.asarray(unseen, np.float32))
+    return Model(classes, out_grams, out_contexts, np.asarray(unseen, np.float32), sequences)
+
+
+def shared_backoff(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[str], order: int, cut: float, sequences=text_sequences) -> Model:
+    """Classes that back off to one Kneser-Ney model of all their counts: a class's probability is
+    its own count less `cut`, over its context's count, and the mass so cut spread like that model.
+    What a class has seen `cut` times or less thus weighs as much as all classes together say."""
+    every, number = np.concatenate([g for g, _ in by_class]), np.concatenate([n for _, n in by_class])
+    k, at, inverse = np.unique(_hash(every), return_index=True, return_inverse=True)
+    base = kneser_ney([(every[at], np.bincount(inverse, number, len(at)))], ["all"], order, sequences)
+    contexts = base.contexts[-1][0].values
+    where = np.searchsorted(contexts, _hash(every[at], 1))
+    own = np.zeros((len(k), len(classes)))
+    for c, (grams, n) in enumerate(by_class):
+        own[np.searchsorted(k, _hash(grams)), c] = n
+    total, lost = _sums(own, where, len(contexts)), _sums(np.minimum(own, cut), where, len(contexts))
+    weight = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
+    p = np.maximum(own - cut, 0) / np.maximum(total, 1)[where] + weight[where] * np.exp(base.grams[-1][1])
+    wide = lambda pairs: [(found, np.repeat(v, len(classes), 1)) for found, v in pairs]
+    grams, ctx = wide(base.grams), wide(base.contexts)
+    grams[-1] = (grams[-1][0], np.log(p).astype(np.float32))
+    ctx[-1] = (ctx[-1][0], (np.log(weight) + ctx[-1][1]).astype(np.float32))
+    return Model(classes, grams, ctx, np.repeat(base.unseen, len(classes)), sequences)
+
+
+def _sums(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(where, values[:, c], n) for c in range(values.shape[1])], 1)
 
 
 def _hash(grams: np.ndarray, skip: int = 0) -> np.ndarray:

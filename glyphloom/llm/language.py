@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, stored, table, text_chunks
-from .kneser import Model, build, count_grams, sample
+from .kneser import Model, count_grams, kneser_ney, read_counts, sample
 
 ORDER = 4
 ROWS, HELD = 4000, 1000
@@ -41,7 +41,7 @@ def fit(df: DataFrame, text: Column, lang: Column, key: Column, order: int = ORD
     classes = sorted(r[0] for r in d.select("cls").distinct().collect())  # the languages
     if not classes:
         return None, np.empty(0)
-    model = build(counts, order, classes=classes)
+    model = kneser_ney(read_counts(counts, order, classes), classes, order)
     bound = np.full(len(classes), np.inf)
     own = score(d.where("slice = 1"), ["cls"], "text", model, bound).where("lang_pred = cls")
     for r in own.groupBy("cls").agg(F.percentile_approx("cross_entropy", 1 - REJECT, 10000).alias("b")).collect():

@@ -1,9 +1,14 @@
-"""Operator 2, toxicity: class-conditional Kneser-Ney models of toxic and ordinary text.
-
-Both classes count their own n-grams at the highest order and share one set of backoff counts below
-it, so a rare expression that neither class has seen weighs nothing, and one that a class has seen
-seldom little. A text's evidence is the difference of its two length-normalised log-likelihoods;
-a logistic curve turns it into a probability. The curve is fitted on labelled rows outside the counts.
+"""Operator 2, toxicity: class-conditional Kneser-Ney models of the words of toxic and ordinary text.
+
+Both classes count n-grams of code points inside words at the highest order, and back off to one
+Kneser-Ney model of all their counts: what a class has seen `cut` times or less is worth what the
+shared counts say, so rare expressions speak for neither class. A toxic document is taken to be
+ordinary words with a share SPOTS of words from the toxic model, as insults are few among many plain
+words; its log-likelihood less that of an ordinary document, divided by the number of words, is the
+text's evidence. (Without the mixture, small shifts between classes, such as their shares of
+languages, add up over a long text and drown a handful of insults.) A logistic curve over the
+evidence's logarithm gives the score; it and the choice of `cut` come from labelled rows outside
+the counts.
 
 Fitting takes a bounded sample of labelled rows, at most ROWS of each class for counts and HELD for
 the curve; every whole text is scored.
@@ -19,18 +24,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, stored, table, text_chunks
-from .kneser import Model, build, count_grams, sample
+from .kneser import Model, count_grams, read_counts, sample, shared_backoff, word_sequences
 
-ORDER = 6
+ORDER = 8
 ROWS, HELD = 8000, 2000
+CUTS = (0.75, 3.0)
+SPOTS = 0.002
+#: What is added to evidence before its logarithm is taken.
+FLOOR = 1e-4
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_evidence(model: Model, raw: np.ndarray, offsets: np.ndarray, spots: float = SPOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's evidence and number of words. Equal words are scored once."""
+    cps, places, size = model.sequences(raw, offsets, len(model.grams))
+    total, words = np.zeros(len(size)), np.zeros(len(size), np.int64)
+    if not len(places):
+        return total, words
+    start = np.flatnonzero(np.diff(places, prepend=-9) > 1)
+    length = np.diff(np.append(start, len(places)))
+    power = np.cumprod(np.full(int(length.max()), _POWER))
+    inside = np.arange(len(places)) - np.repeat(start, length)
+    name = np.add.reduceat((cps[places].astype(np.uint64) + np.uint64(1)) * power[inside], start)
+    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    chosen = np.zeros(len(start), bool)
+    chosen[first] = True
+    order = np.empty(len(first), np.int64)
+    order[np.argsort(first, kind="stable")] = np.arange(len(first))
+    lp = model.log_probabilities(cps, places[np.repeat(chosen, length)])
+    size_of = length[chosen]
+    each = np.add.reduceat(lp[:, 1] - lp[:, 0], np.cumsum(size_of) - size_of, dtype=np.float64)
+    each = np.log1p(spots * np.expm1(np.minimum(each, 50.0)))[order][which]
+    row = np.repeat(np.arange(len(size)), size)[start]
+    words = np.bincount(row, minlength=len(size))
+    return np.bincount(row, each, len(size)) / np.maximum(words, 1), words
 
 
 def evidence(df: DataFrame, keep: list[str], text: str, model: Model) -> DataFrame:
-    """keep, evidence (nats a code point in favour of the second class), size."""
+    """keep, evidence (nats a word in favour of the second class), words."""
     d = df.select(*keep, F.col(text).alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -38,12 +73,11 @@ def evidence(df: DataFrame, keep: list[str], text: str, model: Model) -> DataFra
         m = shared.value
         for batch in batches:
             for lo, hi, raw, offsets in text_chunks(batch, "__text"):
-                total, size = m.text_sums(raw, offsets)
-                each = (total[:, 1] - total[:, 0]) / np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]], pa.array(each), pa.array(size)], [*keep, "evidence", "size"])
+                each, words = word_evidence(m, raw, offsets)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]], pa.array(each), pa.array(words)], [*keep, "evidence", "words"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(run, f"{kept}, evidence double, size long")
+    return d.mapInArrow(run, f"{kept}, evidence double, words long")
 
 
 def curve(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
@@ -64,12 +98,28 @@ def fit(df: DataFrame, key: str, text: str, label: str, order: int = ORDER, rows
     """Model and logistic curve of labelled rows; None without rows of both classes."""
     d = df.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.col(label).cast("int").alias("__y")).where("__y IN (0, 1)")
     d = stored(sample(d, F.col("__y"), F.col("__key"), rows, held).select("cls", "slice", "text"), "toxicity-sample")
-    model = build(count_grams(d.where("slice = 0"), order), order, shared=True, classes=["0", "1"])
-    rest = evidence(d.where("slice = 1"), ["cls"], "text", model).select("cls", "evidence").toPandas()  # at most 2 * held rows
-    if rest["cls"].nunique() < 2:
+    classes = ["0", "1"]
+    counts = read_counts(count_grams(d.where("slice = 0"), order, sequences=word_sequences), order, classes)
+    if not all(len(g) for g, _ in counts):
         return None
-    w = curve(rest["evidence"].to_numpy(), (rest["cls"] == "1").to_numpy().astype(float))
-    return model, np.array([max(w[0], 0.0), w[1]])
+    best = None
+    for cut in CUTS:
+        model = shared_backoff(counts, classes, order, cut, word_sequences)
+        rest = evidence(d.where("slice = 1"), ["cls"], "text", model).select("cls", "evidence").toPandas()  # 2 * held rows at most
+        y = (rest["cls"] == "1").to_numpy().astype(float)
+        if not 0 < y.sum() < len(y):
+            return None
+        x = np.log(np.maximum(rest["evidence"].to_numpy(), 0) + FLOOR)
+        w = curve(x, y)
+        p = np.clip(1 / (1 + np.exp(-(x * w[0] + w[1]))), 1e-9, 1 - 1e-9)
+        loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+        if best is None or loss < best[0]:
+            best = loss, model, np.array([max(w[0], 0.0), w[1]])
+    return best[1], best[2]
+
+
+def probability(given: Column, w: np.ndarray) -> Column:
+    return 1 / (1 + F.exp(-(F.log(F.greatest(given, F.lit(0.0)) + FLOOR) * float(w[0]) + float(w[1]))))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +131,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     if fitted is None:
         return d.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     model, w = fitted
-    d = evidence(d, ["doc_id", "held_out"], "text", model)
-    p = 1 / (1 + F.exp(-(F.col("evidence") * float(w[0]) + float(w[1]))))
-    return d.select("doc_id", "held_out", p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), "evidence")
+    d = evidence(d, ["doc_id", "held_out"], "text", model).withColumn("score", probability(F.col("evidence"), w))
+    return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
