@@ -93,7 +93,10 @@ def filter_documents(df: DataFrame, text: str = "text", host: str = "source", br
     bad = host_verdicts(rules, "__src", rule_failed()).where("host_rejected").select("__host")
     n = bad.limit(broadcast_rows + 1).count()
     marked = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col(text).alias("__text"), F.col(host).alias("__src"))
-    kept = rule_counts(marked, "__text", ["__row", "__src"]).where(~base_failed()).select("__row", "__src")
+    # a column that isn't deterministic keeps the filter above the counts: pushed below them, it would
+    # take each text apart again for every word
+    counted = rule_counts(marked, "__text", ["__row", "__src"]).withColumn("__fence", F.monotonically_increasing_id())
+    kept = counted.where((F.col("__fence") >= 0) & ~base_failed()).select("__row", "__src")
     if n:
         kept = kept.join(F.broadcast(bad) if n <= broadcast_rows else bad, kept["__src"].eqNullSafe(bad["__host"]), "left_anti")
     return kept.select("__row.*")
