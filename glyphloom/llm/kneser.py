@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spaced, text_chunks
+from .common import GAP, spaced, text_chunks
 
 #: Odd multipliers of a code point by its distance from the end, from a fixed seed.
 MULTIPLIERS = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,18 +69,22 @@ def keys(cps: np.ndarray, places: np.ndarray, order: int, context: bool = False)
 
 
 class SortedKeys:
-    """A sorted array of distinct keys with an index of their top bits."""
+    """A sorted array of distinct keys with an index of their top bits, which each process makes for itself."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
+        self.values, self.first = values, None
         self.shift = np.uint64(64 - max(1, min(22, int(np.ceil(np.log2(len(values) + 1))))))
-        self.first = np.searchsorted(values, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"first": None}
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The place of each wanted key, or -1."""
         out = np.full(len(wanted), -1, np.int64)
         if not len(self.values):
             return out
+        if self.first is None:
+            self.first = np.searchsorted(self.values, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
         at = self.first[(wanted >> self.shift).astype(np.int64)]
         open_ = None
         while True:
@@ -96,7 +101,7 @@ class SortedKeys:
 
 class Model:
     """classes; for each order from 1: (SortedKeys, log-probabilities by class), (SortedKeys, log backoff
-    weights by class). sequences says how texts are cut."""
+    weights by class), or one column of them where all classes agree. sequences says how texts are cut."""
 
     def __init__(self, classes: list[str], grams: list, contexts: list, unseen: np.ndarray, sequences=text_sequences):
         self.classes, self.grams, self.contexts, self.unseen, self.sequences = classes, grams, contexts, unseen, sequences
@@ -167,6 +172,31 @@ def count_grams(df: DataFrame, order: int, text: str = "text", sequences=text_se
     return d.mapInArrow(run, "cls string, gram binary, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n"))
 
 
+def count_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """df: cls, text. Returns cls, word, n."""
+    d = df.select("cls", F.explode(F.split(F.col(text), GAP)).alias("word")).where("word <> ''")
+    return d.groupBy("cls", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_words(counts: DataFrame, order: int, classes: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Like read_counts, for the n-grams inside words, from count_words' rows."""
+    t, out = counts.toArrow().combine_chunks(), []
+    for c in classes:
+        own = t.filter(pc.equal(t["cls"], c))
+        batch = pa.RecordBatch.from_arrays([pa.array(own["word"].to_pylist(), pa.large_string())], ["word"])
+        grams, number = [np.empty((0, order), np.uint32)], [np.empty(0, np.int64)]
+        for lo, hi, raw, offsets in text_chunks(batch, "word"):
+            cps, places, size = word_sequences(raw, offsets, order)
+            weight = np.repeat(own["n"].to_numpy()[lo:hi], size)
+            _, at, which = np.unique(keys(cps, places, order), return_index=True, return_inverse=True)
+            grams.append(np.stack([cps[places[at] - order + 1 + i] for i in range(order)], 1))
+            number.append(np.bincount(which, weight, len(at)).astype(np.int64))
+        grams, number = np.concatenate(grams), np.concatenate(number)
+        _, at, which = np.unique(_hash(grams), return_index=True, return_inverse=True)
+        out.append((grams[at], np.bincount(which, number, len(at)).astype(np.int64)))
+    return out
+
+
 def _discount(n: np.ndarray) -> float:
     once, twice = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
     return once / (once + 2 * twice) if once and twice else 0.75
@@ -229,8 +259,7 @@ def shared_backoff(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[
     total, lost = _sums(own, where, len(contexts)), _sums(np.minimum(own, cut), where, len(contexts))
     weight = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
     p = np.maximum(own - cut, 0) / np.maximum(total, 1)[where] + weight[where] * np.exp(base.grams[-1][1])
-    wide = lambda pairs: [(found, np.repeat(v, len(classes), 1)) for found, v in pairs]
-    grams, ctx = wide(base.grams), wide(base.contexts)
+    grams, ctx = base.grams, base.contexts
     grams[-1] = (grams[-1][0], np.log(p).astype(np.float32))
     ctx[-1] = (ctx[-1][0], (np.log(weight) + ctx[-1][1]).astype(np.float32))
     return Model(classes, grams, ctx, np.repeat(base.unseen, len(classes)), sequences)

@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, stored, table, text_chunks
-from .kneser import Model, count_grams, read_counts, sample, shared_backoff, word_sequences
+from .kneser import Model, count_words, read_words, sample, shared_backoff, word_sequences
 
 ORDER = 8
-ROWS, HELD = 8000, 2000
+ROWS, HELD = 3000, 1000
 CUTS = (0.75, 3.0)
 SPOTS = 0.002
 #: What is added to evidence before its logarithm is taken.
@@ -66,8 +67,11 @@ def word_evidence(model: Model, raw: np.ndarray, offsets: np.ndarray, spots: flo
 
 def evidence(df: DataFrame, keep: list[str], text: str, model: Model) -> DataFrame:
     """keep, evidence (nats a word in favour of the second class), words."""
+    return _evidence(df, keep, text, df.sparkSession.sparkContext.broadcast(model))
+
+
+def _evidence(df: DataFrame, keep: list[str], text: str, shared: Broadcast) -> DataFrame:
     d = df.select(*keep, F.col(text).alias("__text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -94,18 +98,21 @@ def curve(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
     return np.array([w[0] / scale, w[1]])
 
 
-def fit(df: DataFrame, key: str, text: str, label: str, order: int = ORDER, rows: int = ROWS, held: int = HELD) -> tuple[Model, np.ndarray] | None:
-    """Model and logistic curve of labelled rows; None without rows of both classes."""
-    d = df.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.col(label).cast("int").alias("__y")).where("__y IN (0, 1)")
-    d = stored(sample(d, F.col("__y"), F.col("__key"), rows, held).select("cls", "slice", "text"), "toxicity-sample")
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, rows: int = ROWS, held: int = HELD) -> tuple[Model, np.ndarray] | None:
+    """Model and logistic curve of labelled rows; None without rows of both classes. docs: key, text;
+    labels: key, label. The sample is taken of labels alone, and is small enough to broadcast."""
+    chosen = sample(labels.where("label IN (0, 1)"), F.col("label"), F.col("key"), rows, held).select("key", "cls", "slice")
+    d = stored(docs.join(F.broadcast(chosen), "key").select("cls", "slice", "text"), "toxicity-sample")
     classes = ["0", "1"]
-    counts = read_counts(count_grams(d.where("slice = 0"), order, sequences=word_sequences), order, classes)
+    counts = read_words(count_words(d.where("slice = 0")), order, classes)
     if not all(len(g) for g, _ in counts):
         return None
     best = None
     for cut in CUTS:
         model = shared_backoff(counts, classes, order, cut, word_sequences)
-        rest = evidence(d.where("slice = 1"), ["cls"], "text", model).select("cls", "evidence").toPandas()  # 2 * held rows at most
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        rest = _evidence(d.where("slice = 1"), ["cls"], "text", shared).select("cls", "evidence").toPandas()  # 2 * held rows at most
+        shared.destroy()
         y = (rest["cls"] == "1").to_numpy().astype(float)
         if not 0 < y.sum() < len(y):
             return None
@@ -125,8 +132,8 @@ def probability(given: Column, w: np.ndarray) -> Column:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_bucket(F.col("doc_id"), 5) == 0
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__id"), "toxic").where(crc_bucket(F.col("__id"), 5) != 0)
-    fitted = fit(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("__id")), "doc_id", "text", "toxic")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("toxic").alias("label")).where(crc_bucket(F.col("key"), 5) != 0)
+    fitted = fit(docs.select(F.col("doc_id").alias("key"), "text"), labels)
     d = docs.select("doc_id", held.alias("held_out"), "text")
     if fitted is None:
         return d.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
