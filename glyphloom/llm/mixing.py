@@ -152,7 +152,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
         d = d.withColumn("__size", word_count(F.col(text))).withColumn("__at", w(F.col(f"`{id_col}`"), F.col("__size"), F.col(source))).withColumnRenamed("__size", "__words")
         taken = taken.withColumn("__nth", w(F.col("__id"), F.col("__size"), F.col("__taken")))
         by = by & (F.col("__at") == F.col("__nth"))
-    d = d.join(taken, by)
+    d = d.join(taken.hint("merge"), by)  # what is taken grows with the documents
     whole, part = F.expr("__taken DIV __size"), F.col("__taken") % F.col("__size")
     d = d.withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
     cut = F.array_join(F.slice(F.array_remove(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), ""), F.lit(1), F.greatest(F.lit(1), F.col("__copy").cast("int"))), " ")

@@ -311,7 +311,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     """The rows of df whose id names their component, one for each component."""
     near = near_duplicates(df, id_col, text)
     first = stored(near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count(F.lit(1)).alias("__n")), "simhash-kept")
-    kept = df.join(first.select("__keep"), F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi")
+    # a merge join at every size: the ids to keep grow with the documents
+    kept = df.join(first.select("__keep").hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi")
     if first.where("__n > 1").limit(1).count():  # repeated rows of a kept id
         kept = kept.dropDuplicates([id_col])
     return kept
