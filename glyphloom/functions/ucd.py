@@ -179,3 +179,15 @@ def java_class(cps: Iterable[int], negate: bool = False) -> str:
     """A java.util.regex character class of code points."""
     body = "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in spans(sorted(cps)))
     return f"[{'^' if negate else ''}{body}]"
+
+
+def quick_class(cps: Iterable[int], negate: bool = False) -> str:
+    """A java.util.regex pattern for one character of a class of many ranges. A Java class tests its ranges
+    in turn, so the ranges are parted by block, and a block's are tried only for characters in it."""
+    every, parts = sorted(cps), []
+    edges = (0, 0x80, 0x300, 0x590, 0x900, 0x1100, 0x2000, 0x2E80, 0xA000, 0xFB00, 0x10000, 0x1F000, 0xE0000, LAST + 1)
+    for a, b in zip(edges, edges[1:]):  # noqa: B905
+        if some := [c for c in every if a <= c < b]:
+            parts.append(f"(?=[\\x{{{a:X}}}-\\x{{{b - 1:X}}}]){java_class(some)}")
+    body = f"(?:{'|'.join(parts)})" if len(parts) > 1 or len(spans(every)) > 8 else java_class(every)
+    return f"(?:(?!{body})[\\s\\S])" if negate else body

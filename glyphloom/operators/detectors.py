@@ -110,8 +110,9 @@ def decoded_tags(c: Column | str) -> Column:
 
 @cache
 def _registered() -> str:
-    by_vs = "|".join(f"(?<={ucd.java_class(bases)})\\x{{{vs:X}}}" for vs, bases in sorted(ucd.standardized_pairs().items()))
-    return f"(?<={ucd.java_class(ucd.members('Emoji'))})[\\x{{FE0E}}\\x{{FE0F}}]|{by_vs}"
+    # the selector is matched first, as it is rare; then what comes before it
+    by_vs = "|".join(f"\\x{{{vs:X}}}(?<={ucd.quick_class(bases)}\\x{{{vs:X}}})" for vs, bases in sorted(ucd.standardized_pairs().items()))
+    return f"[\\x{{FE0E}}\\x{{FE0F}}](?<={ucd.quick_class(ucd.members('Emoji'))}[\\x{{FE0E}}\\x{{FE0F}}])|{by_vs}"
 
 
 def variation_selector_payload(c: Column | str) -> Column:
@@ -135,13 +136,13 @@ def variation_selector_payload(c: Column | str) -> Column:
 def _zero_width() -> str:
     away = {*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0xE0000, 0xE0080), *range(0x202A, 0x202F), *range(0x2066, 0x206A)}
     extra = {*range(0x200B, 0x2010), *range(0x2060, 0x2065), 0x202F, 0xFEFF, *range(0xFFF9, 0xFFFC)}
-    return ucd.java_class((ucd.default_ignorable() - away) | extra)
+    return ucd.quick_class((ucd.default_ignorable() - away) | extra)
 
 
 @cache
 def _zwj_in_emoji() -> str:
-    letters = ucd.java_class(ucd.zwj_alphabet())
-    return f"(?<={letters}){ZWJ}(?={letters})"
+    letters = ucd.quick_class(ucd.zwj_alphabet())
+    return f"{ZWJ}(?<={letters}{ZWJ})(?={letters})"
 
 
 def zero_width_payload(c: Column | str) -> Column:
@@ -282,8 +283,8 @@ def _is_registered_zwj(t: Column) -> Column:
 
 def emoji_zwj_integrity(c: Column | str) -> Column:
     t = _text(c)
-    others = ucd.java_class(ucd.zwj_alphabet(), negate=True)
-    alien = f"(?s)(?<={others}){ZWJ}(?=.)|(?<=.){ZWJ}(?={others})"
+    others = ucd.quick_class(ucd.zwj_alphabet(), negate=True)
+    alien = f"(?s){ZWJ}(?:(?<={others}{ZWJ})(?=.)|(?<=.{ZWJ})(?={others}))"
     tones = F.regexp_count(t, F.lit(TONES))
     found = verdict(
         t,
@@ -299,8 +300,8 @@ def emoji_zwj_integrity(c: Column | str) -> Column:
 
 def skin_tone_variation_forgery(c: Column | str) -> Column:
     t = _text(c)
-    stacked, wrong = f"(?s).(?={TONES}{{2}})", f"{ucd.java_class(ucd.members('Emoji_Modifier_Base'), negate=True)}(?={TONES})"
-    forced = f"{ucd.java_class(ucd.members('Emoji_Presentation'))}(?=\\x{{FE0E}})"
+    stacked, wrong = f"(?s).(?={TONES}{{2}})", f"{ucd.quick_class(ucd.members('Emoji_Modifier_Base'), negate=True)}(?={TONES})"
+    forced = f"{ucd.quick_class(ucd.members('Emoji_Presentation'))}(?=\\x{{FE0E}})"
     at = first(t, stacked)
     found = verdict(
         t,
@@ -325,7 +326,7 @@ def source_display_divergence(c: Column | str, parts: dict[str, Column] | None =
 
 @cache
 def _extend() -> str:
-    return ucd.java_class(ucd.members("GCB=Extend"))
+    return ucd.quick_class(ucd.members("GCB=Extend"))
 
 
 def filename_disguise(c: Column | str) -> Column:
@@ -344,7 +345,7 @@ def filename_disguise(c: Column | str) -> Column:
 
 @cache
 def _strong() -> tuple[str, str]:
-    return ucd.java_class(ucd.with_bidi("R", "AL")), ucd.java_class(ucd.with_bidi("L"))
+    return ucd.quick_class(ucd.with_bidi("R", "AL")), ucd.quick_class(ucd.with_bidi("L"))
 
 
 def rtl_injection(c: Column | str) -> Column:
@@ -366,7 +367,7 @@ def rtl_injection(c: Column | str) -> Column:
 def renderer_divergence(c: Column | str) -> Column:
     t = _text(c)
     rtl, ltr = _strong()
-    stack = f"{ucd.java_class(ucd.members('GCB=Extend'), negate=True)}(?={_extend()}{{4}})"
+    stack = f"{ucd.quick_class(ucd.members('GCB=Extend'), negate=True)}(?={_extend()}{{4}})"
     found = verdict(
         t,
         (t.rlike(stack), "CombiningStackOverflow", one(first(t, stack))),
@@ -396,7 +397,7 @@ def normalization_bomb(c: Column | str) -> Column:
 
 @cache
 def _nonstarters(*keep: int) -> str:
-    return ucd.java_class(i for i in range(ucd.LAST + 1) if (k := ud.combining(chr(i))) and (not keep or k in keep) and not 0xD800 <= i <= 0xDFFF)
+    return ucd.quick_class(i for i in range(ucd.LAST + 1) if (k := ud.combining(chr(i))) and (not keep or k in keep) and not 0xD800 <= i <= 0xDFFF)
 
 
 @cache
@@ -411,14 +412,14 @@ def stream_safe_violation(c: Column | str) -> Column:
 
 def locale_case_inversion(c: Column | str) -> Column:
     t, between, above = _text(c), _marks_between(), _nonstarters(230)
-    turkish = f"I(?!{between}*\\x{{307}})|\\x{{130}}|(?<=I{between}{{0,30}})\\x{{307}}"
+    turkish = f"I(?!{between}*\\x{{307}})|\\x{{130}}|\\x{{307}}(?<=I{between}{{0,30}}\\x{{307}})"
     lithuanian = f"[IJ\\x{{12E}}](?={between}*{above})|[\\x{{CC}}\\x{{CD}}\\x{{128}}]"
     return verdict(t, (t.rlike(turkish), "TurkishCaseDivergence", one(first(t, turkish))), (t.rlike(lithuanian), "LithuanianCaseDivergence", one(first(t, lithuanian))))
 
 
 @cache
-def _expanding(upper: bool) -> str:
-    return ucd.java_class(i for i in range(ucd.LAST + 1) if len(chr(i).upper() if upper else chr(i).lower()) > 1)
+def _expanding(upper: bool, form: Callable = ucd.quick_class) -> str:
+    return form(i for i in range(ucd.LAST + 1) if len(chr(i).upper() if upper else chr(i).lower()) > 1)
 
 
 def case_expansion_mismatch(c: Column | str) -> Column:
@@ -427,9 +428,9 @@ def case_expansion_mismatch(c: Column | str) -> Column:
 
 
 @cache
-def _width_folds(width: str) -> str:
+def _width_folds(width: str, form: Callable = ucd.quick_class) -> str:
     eaw = ud.east_asian_width
-    return ucd.java_class(i for i in range(ucd.LAST + 1) if not 0xD800 <= i <= 0xDFFF and eaw(chr(i)) == width and eaw(ud.normalize("NFKD", chr(i))[0]) != width)
+    return form(i for i in range(ucd.LAST + 1) if not 0xD800 <= i <= 0xDFFF and eaw(chr(i)) == width and eaw(ud.normalize("NFKD", chr(i))[0]) != width)
 
 
 def width_class_confusion(c: Column | str) -> Column:
@@ -452,9 +453,9 @@ def nfc_idempotence_witness(c: Column | str) -> Column:
 
 
 @cache
-def _status_shifts() -> str:
+def _status_shifts(form: Callable = ucd.quick_class) -> str:
     ok = ucd.allowed_identifier()
-    return ucd.java_class(i for i in range(ucd.LAST + 1) if not 0xD800 <= i <= 0xDFFF and (i in ok) != (ord(ud.normalize("NFKD", chr(i))[0]) in ok))
+    return form(i for i in range(ucd.LAST + 1) if not 0xD800 <= i <= 0xDFFF and (i in ok) != (ord(ud.normalize("NFKD", chr(i))[0]) in ok))
 
 
 def identifier_form_drift(c: Column | str) -> Column:
@@ -470,8 +471,8 @@ def covert_display_compound(c: Column | str) -> Column:
 
 
 @cache
-def _confusable() -> str:
-    return ucd.java_class(map(ord, ucd.confusables()))
+def _confusable(form: Callable = ucd.quick_class) -> str:
+    return form(map(ord, ucd.confusables()))
 
 
 def confusable_bidi_compound(c: Column | str) -> Column:
@@ -571,11 +572,11 @@ def evenly_spaced(at: Column, tolerance: int = 0) -> Column:
 
 def ai_watermark_detectability(c: Column | str, tolerance: int = 0) -> Column:
     t = _text(c)
-    emoji = ucd.java_class(ucd.members("Emoji"))
+    emoji = ucd.quick_class(ucd.members("Emoji"))
     vs = r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]"
-    alone = lambda k: f"(?<!{emoji}){k}(?!{emoji})"
-    hidden = ucd.java_class(ucd.default_ignorable() - {0x200D, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)})
-    every_hidden = ucd.java_class(ucd.default_ignorable() | {0x202F})
+    alone = lambda k: f"{k}(?<!{emoji}{k})(?!{emoji})"
+    hidden = ucd.quick_class(ucd.default_ignorable() - {0x200D, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)})
+    every_hidden = ucd.quick_class(ucd.default_ignorable() | {0x202F})
     n = lambda k: F.regexp_count(t, F.lit(k))
     nnbsp, zwsp, lone_vs, lone_zwj, rest = n(" "), n("​"), n(alone(vs)), n(alone(ZWJ)), n(hidden)
     kinds = sum((x > 0).cast("int") for x in (nnbsp, lone_vs, lone_zwj, rest))

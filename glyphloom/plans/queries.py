@@ -190,13 +190,13 @@ def sql() -> dict[str, str]:
             ("length(t) - length(replace(t, '.', '')) >= 3", "'MultipleExtensions'", _every("[.]")),
         ], ext),
         "stream_safe_violation": simple((f"{nonstarter}{{31,}}", "StreamSafeOverrun")),
-        "case_expansion_mismatch": simple((D._expanding(True), "UpperExpansion"), (D._expanding(False), "LowerExpansion")),
-        "width_class_confusion": simple((D._width_folds("F"), "FullwidthFold"), (D._width_folds("H"), "HalfwidthFold")),
-        "identifier_form_drift": simple((D._status_shifts(), "IdentifierStatusShift")),
+        "case_expansion_mismatch": simple((D._expanding(True, ucd.java_class), "UpperExpansion"), (D._expanding(False, ucd.java_class), "LowerExpansion")),
+        "width_class_confusion": simple((D._width_folds("F", ucd.java_class), "FullwidthFold"), (D._width_folds("H", ucd.java_class), "HalfwidthFold")),
+        "identifier_form_drift": simple((D._status_shifts(ucd.java_class), "IdentifierStatusShift")),
         "confusable_bidi_compound": _cases([
-            (f"NOT {_has(bidi)} OR NOT {_has(D._confusable())}", "NULL", "''"),
-            (_has("[\\x{202A}-\\x{202E}]"), "'ConfusableInOverride'", f"concat({_first(D._confusable())}, ',', {_first('[\\x{202A}-\\x{202E}]')})"),
-            ("true", "'ConfusableInIsolate'", f"concat({_first(D._confusable())}, ',', {_first('[\\x{2066}-\\x{2069}]')})"),
+            (f"NOT {_has(bidi)} OR NOT {_has(D._confusable(ucd.java_class))}", "NULL", "''"),
+            (_has("[\\x{202A}-\\x{202E}]"), "'ConfusableInOverride'", f"concat({_first(D._confusable(ucd.java_class))}, ',', {_first('[\\x{202A}-\\x{202E}]')})"),
+            ("true", "'ConfusableInIsolate'", f"concat({_first(D._confusable(ucd.java_class))}, ',', {_first('[\\x{2066}-\\x{2069}]')})"),
         ]),
         "normalize_nfc": f"SELECT doc_id, md5(nfc_normalize({PLANTED})) AS digest FROM documents",
         "is_nfc": f"SELECT doc_id, nfc_normalize({PLANTED}) = {PLANTED} AS nfc FROM documents",
