@@ -251,7 +251,8 @@ def _is_shared(x: str) -> bool:
 
 
 def script_sets(s: str) -> list[frozenset[str]]:
-    return [scripts_of(x) for x in s if not _is_shared(x)]
+    """The scripts of each different character that isn't Common or Inherited."""
+    return [scripts_of(x) for x in set(s) if not _is_shared(x)]
 
 
 def level_of(s: str) -> str:
@@ -265,7 +266,7 @@ def level_of(s: str) -> str:
     others = {tuple(sorted(x)) for x in sets if "Latn" not in x}
     if all(sets) and len(others) == 1 and not others & {("Cyrl",), ("Grek",)}:
         return LEVELS[3]
-    return LEVELS[4] if all(ord(x) in ucd.allowed_identifier() for x in s) else LEVELS[5]
+    return LEVELS[4] if all(ord(x) in ucd.allowed_identifier() for x in set(s)) else LEVELS[5]
 
 
 def covered_cjk(sets: list[frozenset[str]]) -> bool:

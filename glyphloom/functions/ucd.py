@@ -189,5 +189,6 @@ def quick_class(cps: Iterable[int], negate: bool = False) -> str:
     for a, b in zip(edges, edges[1:]):  # noqa: B905
         if some := [c for c in every if a <= c < b]:
             parts.append(f"(?=[\\x{{{a:X}}}-\\x{{{b - 1:X}}}]){java_class(some)}")
-    body = f"(?:{'|'.join(parts)})" if len(parts) > 1 or len(spans(every)) > 8 else java_class(every)
+    # most text is below the first of them: one test turns its characters away
+    body = f"(?:(?=[\\x{{{every[0]:X}}}-\\x{{{every[-1]:X}}}])(?:{'|'.join(parts)}))" if len(parts) > 1 or len(spans(every)) > 8 else java_class(every)
     return f"(?:(?!{body})[\\s\\S])" if negate else body

@@ -159,7 +159,7 @@ def zero_width_payload(c: Column | str) -> Column:
         (n("[​‍]") >= 2, "BinaryPayload", at),
         (F.lit(True), "BareZeroWidth", at),
     )
-    return F.when(t.rlike(_zero_width()), found).otherwise(verdict(t))
+    return F.when(~T.is_ascii(t) & t.rlike(_zero_width()), found).otherwise(verdict(t))
 
 
 def surrogate_reassembly(c: Column | str) -> Column:
@@ -255,9 +255,9 @@ def homoglyph_confusable(c: Column | str) -> Column:
 
 
 def mixed_script_of(s: str) -> dict:
-    outside = [i for i, x in enumerate(s) if ord(x) not in ucd.allowed_identifier()]
+    outside = {x for x in set(s) if ord(x) not in ucd.allowed_identifier()}
     if outside:
-        return _hazard("RestrictedStatusCp", outside)
+        return _hazard("RestrictedStatusCp", [i for i, x in enumerate(s) if x in outside])
     has = {k: [i for i, x in enumerate(s) if k in T.scripts_of(x)] for k in ("Latn", "Cyrl", "Grek")}
     for sub, k in (("LatinCyrillic", "Cyrl"), ("LatinGreek", "Grek")):
         if has["Latn"] and has[k]:
@@ -361,16 +361,18 @@ def rtl_injection(c: Column | str) -> Column:
         (longest.isNotNull(), "MixedOverflow", one(run)),
         (t.rlike(rtl), "StrongRTLInLTR", one(first(t, rtl))),
     )
-    return F.when(t.rlike(f"{BIDI}|{rtl}"), found).otherwise(verdict(t))
+    return F.when(~T.is_ascii(t) & t.rlike(f"{BIDI}|{rtl}"), found).otherwise(verdict(t))
 
 
 def renderer_divergence(c: Column | str) -> Column:
     t = _text(c)
     rtl, ltr = _strong()
-    stack = f"{ucd.quick_class(ucd.members('GCB=Extend'), negate=True)}(?={_extend()}{{4}})"
+    # four marks first, as they are rare, then that another kind of character comes before them
+    mark = ucd.java_class(ucd.members("GCB=Extend"))
+    stack = f"{_extend()}{{4}}(?<=(?!{mark})[\\s\\S]{mark}{mark}{mark}{mark})"
     found = verdict(
         t,
-        (t.rlike(stack), "CombiningStackOverflow", one(first(t, stack))),
+        (t.rlike(stack), "CombiningStackOverflow", one(first(t, stack) - 1)),
         (t.rlike(VS), "VariationSelectorVariance", one(first(t, VS))),
         (t.contains(ZWJ) & ~_is_registered_zwj(t), "UnregisteredZwjVariance", one(first(t, ZWJ))),
         (t.rlike(WIDE), "FullwidthVariance", one(first(t, WIDE))),
@@ -383,10 +385,10 @@ def renderer_divergence(c: Column | str) -> Column:
 
 
 def bomb_of(s: str) -> dict:
-    sizes = [len(ud.normalize("NFKD", x)) for x in s]
-    if (at := next((i for i, n in enumerate(sizes) if n > 8), None)) is not None:
-        return _hazard("SingleCpBlowup", [at])
-    if sum(sizes) * 100 // len(s) > 400:
+    big = {x for x in set(s) if len(ud.normalize("NFKD", x)) > 8}
+    if big:
+        return _hazard("SingleCpBlowup", [next(i for i, x in enumerate(s) if x in big)])
+    if len(ud.normalize("NFKD", s)) * 100 // len(s) > 400:
         return _hazard("NfkdHighExpansion", [])
     return _hazard("NfdHighExpansion", []) if len(ud.normalize("NFD", s)) * 100 // len(s) > 300 else CLEAR
 
@@ -596,7 +598,7 @@ def ai_watermark_detectability(c: Column | str, tolerance: int = 0) -> Column:
         (lone_zwj > 0, "ZwjNonEmoji", marked(t, alone(ZWJ))),
     ]
     full = verdict(t, *unseen, *visible, (rest > 0, "DefaultIgnorableCarrier", every(t, hidden)))
-    return F.when(t.rlike(every_hidden), full).otherwise(verdict(t, *visible))
+    return F.when(~T.is_ascii(t) & t.rlike(every_hidden), full).otherwise(verdict(t, *visible))
 
 
 FAMILIES: dict[str, Callable[..., Column]] = {
@@ -617,9 +619,12 @@ def detect(df: DataFrame, text: str, families: list[str] | None = None, prefix:
     """df with a verdict column for each family, named prefix and the family's slug with low lines."""
     chosen = families or list(FAMILIES)
     cols = {s: FAMILIES[s](text) for s in chosen if s != "source-display-divergence"}
-    df = df.withColumns({prefix + s.replace("-", "_"): v for s, v in cols.items()})
+    # a column that isn't deterministic is computed once where it stands; otherwise the optimizer would
+    # copy a verdict's expression to wherever one of its fields is used
+    once = F.monotonically_increasing_id() >= 0
+    df = df.withColumns({prefix + s.replace("-", "_"): F.when(once, v) for s, v in cols.items()})
     if "source-display-divergence" in chosen:
         needed = ("tag-block-payload", "variation-selector-payload", "zero-width-payload", "bidi-control-balance", "homoglyph-confusable")
         parts = {s: F.col(prefix + s.replace("-", "_")) if s in cols else FAMILIES[s](text) for s in needed}
-        df = df.withColumn(prefix + "source_display_divergence", source_display_divergence(text, parts))
+        df = df.withColumn(prefix + "source_display_divergence", F.when(once, source_display_divergence(text, parts)))
     return df

@@ -27,8 +27,15 @@ ATTACKS = [
 PLANTED = "CASE doc_id % 32 " + " ".join(f"WHEN {i} THEN concat(substr(text, 1, 20), '{a}', substr(text, 21))" for i, a in enumerate(ATTACKS) if a) + " ELSE text END"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, mostly one row group each, is dealt out to all cores; a larger
+    one is read where it lies, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.expr(PLANTED).alias("t"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).select("doc_id", "source", F.expr(PLANTED).alias("t"))
 
 
 def family_query(slug: str) -> Callable[[SparkSession, str], DataFrame]:
