@@ -58,9 +58,10 @@ def fold(events: DataFrame) -> DataFrame:
     w = W.partitionBy("c", "t").orderBy("q", "o", "r", "x").rowsBetween(W.unboundedPreceding, W.currentRow)
     e = e.withColumn("k", F.row_number().over(W.partitionBy("c", "t").orderBy("q", "o", "r", "x")))
     e = e.withColumn("m", F.greatest(F.lit(1), F.sum((F.col("o") == 1).cast("int")).over(w) + F.max(F.when(F.col("k") == 1, (F.col("o") != 1).cast("int"))).over(w)))
-    e = e.withColumn("start", F.max(F.when(F.col("o") != 2, F.col("k"))).over(W.partitionBy("c", "t", "m")))
+    whole = W.partitionBy("c", "t", "m")
+    e = e.withColumn("start", F.max(F.when(F.col("o") != 2, F.col("k"))).over(whole)).withColumn("role", F.min_by("r", "k").over(whole))
     e = e.where(F.col("start").isNull() | (F.col("k") >= F.col("start")))
-    m = e.groupBy("c", "t", "m").agg(F.min_by("r", "k").alias("role"), F.sort_array(F.collect_list(F.struct("k", "x"))).alias("parts"))
+    m = e.groupBy("c", "t", "m").agg(F.first("role").alias("role"), F.sort_array(F.collect_list(F.struct("k", "x"))).alias("parts"))
     return m.select(F.col("c").alias("conversation"), F.col("t").alias("turn"), F.col("m").alias("message"), "role", F.expr("array_join(parts.x, '')").alias("text"))
 
 
@@ -117,9 +118,9 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, length(regexp_replace(text, '(\\|</?s>|\[/?INST\])', '\1x', 'g')) + length(replace(regexp_replace(role, '(\\|</?s>|\[/?INST\])', '\1x', 'g'), chr(10), 'xx'))
                 + 8 + CASE WHEN role = 'assistant' THEN 0 ELSE 13 END AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """

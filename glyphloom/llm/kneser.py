@@ -215,7 +215,7 @@ def read_counts(counts: DataFrame, order: int, classes: list[str]) -> list[tuple
 def kneser_ney(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[str], order: int, sequences=text_sequences) -> Model:
     """The model of each class's counts."""
     every = np.concatenate([g for g, _ in by_class]) if by_class else np.empty((0, order), np.uint32)
-    symbols = len(np.unique(every)) + 1
+    symbols = len(np.unique(every[:, -1:])) + 1  # what can be predicted, and any other code point
     lower = np.full((1, len(classes)), 1.0 / symbols)  # order 0: any code point
     lower_keys = np.zeros(1, np.uint64)
     out_grams, out_contexts, unseen = [], [], np.full(len(classes), -np.log(symbols))

@@ -201,7 +201,7 @@ def to_pcm(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
         kind, rate, align, data = wave_parts(m)
         return 2 * rate, doubled(samples(kind, data, align)).astype("<i2").tobytes()
 
-    return _each(df, keep, media, "rate int, pcm binary", one)
+    return _each(df, keep, media, "rate long, pcm binary", one)
 
 
 def describe(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
