@@ -227,7 +227,7 @@ def _script_codes() -> dict[str, str]:
     by_id: dict[int, list[str]] = {}
     for name, i in names.items():
         by_id.setdefault(i, []).append(name)
-    return {n: min(v, key=len).title() for v in by_id.values() for n in v}
+    return {n: next((x for x in v if len(x) == 4), v[0]).title() for v in by_id.values() for n in v}
 
 
 @cache

@@ -126,7 +126,7 @@ def confusables() -> dict[str, str]:
     for c in _ALL[0x80:]:
         if c not in LOOKALIKES and ud.decomposition(c).startswith("<") and (t := ud.normalize("NFKD", c)) != c and all(ud.category(x)[0] in "LN" for x in t):
             out[c] = t
-    return out | LOOKALIKES | {"m": "rn", "0": "O", "1": "l", "I": "l", "|": "l", '"': "''", "`": "'", "%": "º/₀"}
+    return out | LOOKALIKES | {"β": "ß", "m": "rn", "0": "O", "1": "l", "I": "l", "|": "l", '"': "''", "`": "'", "%": "º/₀"}
 
 
 @cache
@@ -176,8 +176,10 @@ def standardized_pairs() -> dict[int, frozenset[int]]:
 
 
 def java_class(cps: Iterable[int], negate: bool = False) -> str:
-    """A java.util.regex character class of code points."""
-    body = "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in spans(sorted(cps)))
+    """A java.util.regex character class of code points. Supplementary ones stand for themselves: only
+    then does Java look behind by code points rather than by UTF-16 units."""
+    name = lambda c: chr(c) if c > 0xFFFF else f"\\x{{{c:X}}}"
+    body = "".join(name(a) + (f"-{name(b)}" if b > a else "") for a, b in spans(sorted(cps)))
     return f"[{'^' if negate else ''}{body}]"
 
 

@@ -94,9 +94,10 @@ def scan_bytes(df: DataFrame, data: str, encoding: Column | str = "UTF-8", profi
     mark = T.bom(data)
     name = F.when(enc == "bom", F.coalesce(mark["kind"], F.lit("UTF-8"))).otherwise(enc)
     shift = F.when(enc == "bom", F.coalesce(mark["length"], F.lit(0))).otherwise(0)
-    d = df.withColumn("__d", T.decode_strict(F.when(enc == "bom", T.strip_bom(data)).otherwise(F.col(data)), name)).withColumn("__t", F.col("__d.text")).withColumn("__e", name).withColumn("__n", shift)
+    payload = F.when(enc == "bom", T.strip_bom(data)).otherwise(F.col(data))
+    d = df.withColumn("__d", T.decode_strict(payload, name)).withColumn("__t", F.col("__d.text")).withColumn("__e", name).withColumn("__n", shift)
     d = scan(d, "__t", profile, mode, out="__verdict")
-    utf8 = T.utf8_error(F.when(F.col("__e") == "UTF-8", F.col(data)))
+    utf8 = T.utf8_error(F.when(F.col("__e") == "UTF-8", payload))
     at = F.coalesce(utf8["offset"], F.col("__d.offset")) + F.col("__n")
     slug = F.concat(F.lit("malformed-"), F.lower(F.regexp_extract("__e", r"^UTF-\d+", 0)).alias("x"))
     sub = F.coalesce(utf8["kind"], F.regexp_replace(F.initcap("__d.error"), "[^A-Za-z]", ""))
