@@ -298,13 +298,20 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, big: int = BIG) -> DataFrame:
     """id, fp, component_id (the least id reachable over links) of every row."""
     docs = stored(fingerprints(df, id_col, text).withColumnRenamed(id_col, "__id"), "simhash")
-    nodes = stored(docs.groupBy("fp").agg(F.min("__id").alias("least")), "simhash-nodes")
+    nodes = stored(docs.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     tree = components(links(nodes.select("fp"), radius, big))
     tree = nodes.join(tree, nodes["fp"] == tree["node"]).select("fp", "root", "least")
     top = tree.groupBy("root").agg(F.min("least").alias("top"))
     named = tree.join(top, "root").select(F.col("fp").alias("__fp"), "top")
-    named = nodes.join(named, nodes["fp"] == named["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("top", "least").alias("component_id"))
-    return docs.join(named, docs["fp"] == named["__fp"], "left").select(F.col("__id").alias(id_col), "fp", "component_id")
+    named = nodes.join(named, nodes["fp"] == named["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("top", "least").alias("component_id"), "n")
+    named = stored(named, "simhash-named")
+    # fingerprints of over a thousandth of all rows are a thousand at most: they are broadcast, so that a
+    # large group of copies isn't dealt to one task; all others meet their rows in a shuffle
+    limit = (nodes.agg(F.sum("n")).first()[0] or 0) // 1000 + 1
+    hot, rest = named.where(F.col("n") > limit).drop("n"), named.where(F.col("n") <= limit).drop("n")
+    few = docs.join(F.broadcast(hot), docs["fp"] == hot["__fp"])
+    many = docs.join(F.broadcast(hot.select("__fp")), docs["fp"] == hot["__fp"], "left_anti").join(rest, F.col("fp") == rest["__fp"])
+    return few.unionByName(many).select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
