@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import plans
 from ..functions import text as T
-from ..functions import ucd
+from ..functions import bidi, precis, ucd, validate
 from ..operators import detectors as D
 from ..operators import policy as P
 
@@ -117,6 +117,13 @@ def character_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir).select(F.explode(T.code_points("t")).alias("cp")).groupBy("cp").agg(F.count(F.lit(1)).alias("n"))
 
 
+def idna_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different hosts of pages, and which are no valid domain names."""
+    hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).distinct()
+    d = hosts.select("host", T.idna("host").alias("r"))
+    return d.select("host", "r.ascii", F.array_join("r.errors", ",").alias("errors"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {s.replace("-", "_"): family_query(s) for s in D.FAMILIES}
 QUERIES |= {
     "normalize_nfc": _column(lambda t: F.md5(T.normalize(t, "NFC").cast("binary")), "digest"),
@@ -134,6 +141,14 @@ QUERIES |= {
     "utf32_bytes": _column(lambda t: F.octet_length(T.encode_text(t, "UTF-32LE")).cast("long"), "bytes"),
     "decoded_tags": _column(D.decoded_tags, "ascii"),
     "code_points": character_counts,
+    "bidi_visual": _column(lambda t: F.md5(bidi.resolve(t)["visual"].cast("binary")), "digest"),
+    "printable": _column(validate.is_printable, "printable"),
+    "first_forbidden": _column(lambda t: validate.first_forbidden(t)["class"], "forbidden"),
+    "forbidden_controls": _column(validate.first_forbidden_control, "offset"),
+    "safe_for_code": _column(validate.safe_for_code, "safe"),
+    "precis_usernames": lambda spark, sf_dir: names_table(spark, sf_dir).select("id", precis.username("name")["error"].alias("error")),
+    "identifiers": lambda spark, sf_dir: names_table(spark, sf_dir).select("id", validate.is_ascii_identifier("name").alias("ascii_identifier"), T.is_allowed_identifier("name").alias("allowed")),
+    "idna_hosts": idna_hosts,
     "hazard_report": hazard_report,
     "all_families": all_families,
     "source_composites": source_composites,
@@ -210,6 +225,9 @@ def sql() -> dict[str, str]:
         "graphemes": f"SELECT doc_id, length_grapheme({PLANTED})::INTEGER AS graphemes FROM documents",
         "utf16_bytes": f"WITH d AS (SELECT doc_id, {PLANTED} AS t FROM documents) SELECT doc_id, (2 * (length(t) + length(regexp_replace(t, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))))::BIGINT AS bytes FROM d",
         "utf32_bytes": f"SELECT doc_id, (4 * length({PLANTED}))::BIGINT AS bytes FROM documents",
+        "forbidden_controls": f"WITH d AS (SELECT doc_id, {PLANTED} AS t FROM documents) SELECT doc_id, CASE WHEN {_has(validate.CONTROL)} THEN strlen(regexp_replace(t, '(?s){validate.CONTROL}.*', ''))::INTEGER END AS offset FROM d",
+        "first_forbidden": f"WITH d AS (SELECT doc_id, regexp_extract({PLANTED}, '{ucd.java_class(ucd.default_ignorable() | {0xFEFF, 0x180E, 0xFFF9, 0xFFFA, 0xFFFB})}') AS c FROM documents) SELECT doc_id, CASE WHEN c = '' THEN NULL "
+        + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{k}'" for k, p in validate.FORBIDDEN.items()) + " ELSE 'defaultIgnorable' END AS forbidden FROM d",
         "code_points": f"SELECT unicode(c) AS cp, count(*) AS n FROM (SELECT unnest(regexp_extract_all({PLANTED}, '(?s).')) AS c FROM documents) GROUP BY ALL",
         "decoded_tags": f"WITH d AS (SELECT doc_id, {PLANTED} AS t FROM documents) SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[\\x{{E0020}}-\\x{{E007E}}]'), lambda c: chr((unicode(c) - 917504)::INTEGER)), '') AS ascii FROM d",
     }
