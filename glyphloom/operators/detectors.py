@@ -133,10 +133,10 @@ def variation_selector_payload(c: Column | str) -> Column:
 
 
 @cache
-def _zero_width() -> str:
+def _zero_width(form: Callable = ucd.quick_class) -> str:
     away = {*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0xE0000, 0xE0080), *range(0x202A, 0x202F), *range(0x2066, 0x206A)}
     extra = {*range(0x200B, 0x2010), *range(0x2060, 0x2065), 0x202F, 0xFEFF, *range(0xFFF9, 0xFFFC)}
-    return ucd.quick_class((ucd.default_ignorable() - away) | extra)
+    return form((ucd.default_ignorable() - away) | extra)
 
 
 @cache

@@ -231,4 +231,28 @@ def sql() -> dict[str, str]:
         "code_points": f"SELECT unicode(c) AS cp, count(*) AS n FROM (SELECT unnest(regexp_extract_all({PLANTED}, '(?s).')) AS c FROM documents) GROUP BY ALL",
         "decoded_tags": f"WITH d AS (SELECT doc_id, {PLANTED} AS t FROM documents) SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[\\x{{E0020}}-\\x{{E007E}}]'), lambda c: chr((unicode(c) - 917504)::INTEGER)), '') AS ascii FROM d",
     }
+    rtl, ltr = (ucd.java_class(ucd.with_bidi(*k)) for k in (("R", "AL"), ("L",)))
+    longest = f"list_max(list_transform(regexp_extract_all(t, '{rtl}{{4,}}'), lambda x: length(x)))"
+    out["rtl_injection"] = _cases([
+        (_has(bidi), "'RloInLTRField'", _at(bidi)), (f"{_has(rtl)} AND (NOT {_has(ltr)} OR {_first(rtl)} < {_first(ltr)})", "'FieldTakeover'", _at(rtl)),
+        (_has(rtl + "{4,}"), "'MixedOverflow'", f"(strpos(t, list_filter(regexp_extract_all(t, '{rtl}{{4,}}'), lambda x: length(x) = {longest})[1])::BIGINT - 1)::VARCHAR"), (_has(rtl), "'StrongRTLInLTR'", _at(rtl)),
+    ])
+    tail = "[ \\t\\n\\r]+$"
+    body = ", n AS (SELECT doc_id, t, nfc_normalize(t) AS c FROM d), e AS (SELECT doc_id, t, c, CASE WHEN t <> c THEN coalesce(list_position(list_transform(range(1, least(length(t), length(c)) + 1), lambda i: substr(t, i, 1) = substr(c, i, 1)), false) - 1, least(length(t), length(c))) END AS p FROM n)"
+    out["hash_input_stability"] = _cases([(_has(tail), "'TrailingWhitespace'", f"{_first(tail)}::VARCHAR"), ("p IS NOT NULL", "'NormalizationDrift'", "p::VARCHAR")], body)
+    letters, zero = ucd.java_class(ucd.zwj_alphabet()), D._zero_width(ucd.java_class)
+    for_emoji = f"regexp_replace(t, '({letters})\u200d({letters})', '\\1x\\2', 'g')"
+    count = lambda k: f"length(regexp_replace(t, '[^{k}]', '', 'g'))"
+    rest = f", e AS (SELECT doc_id, {for_emoji.replace('(t,', '(' + for_emoji + ',')} AS t, t AS u FROM d)"
+    of = lambda k: count(k).replace("(t,", "(u,")
+    out["zero_width_payload"] = _cases([
+        (f"NOT {_has(zero)}", "NULL", "''"), (f"{of(chr(0xFFF9))} <> {of(chr(0xFFFA))} OR {of(chr(0xFFFA))} <> {of(chr(0xFFFB))}", "'AnnotationMisuse'", _every(zero)), (f"contains(u, '{chr(0x2060)}')", "'WordJoinerInjection'", _every(zero)),
+        (f"{of(chr(0x202F))} >= 2", "'AIWatermarkNNBSP'", _every(zero)), (f"{of(chr(0x200B) + chr(0x200D))} >= 2", "'BinaryPayload'", _every(zero)), ("true", "'BareZeroWidth'", _every(zero)),
+    ], rest)
+    walk = (
+        "list_reduce(list_filter(list_transform(regexp_extract_all(t, '(?s).'), lambda c, i: {'c': unicode(c), 'i': i - 1, 'e': 0, 's': 0, 'm': 0, 'o': ''}), lambda x: x.c BETWEEN 8234 AND 8238 OR x.c BETWEEN 8294 AND 8297), "
+        "lambda a, x: {'c': 0, 'i': 0::BIGINT, 'e': a.e + CASE WHEN x.c IN (8234, 8235, 8237, 8238) THEN 1 WHEN x.c = 8236 AND a.e > 0 THEN -1 ELSE 0 END, 's': a.s + CASE WHEN x.c IN (8294, 8295, 8296) THEN 1 WHEN x.c = 8297 AND a.s > 0 THEN -1 ELSE 0 END, "
+        "'m': 0, 'o': a.o || CASE WHEN (x.c = 8236 AND a.e = 0) OR (x.c = 8297 AND a.s = 0) THEN ',' || x.i ELSE '' END}, {'c': 0, 'i': 0::BIGINT, 'e': 0, 's': 0, 'm': 0, 'o': ''})"
+    )
+    out["bidi_control_balance"] = _cases([("w.o <> ''", "'OrphanPop'", "substr(w.o, 2)"), ("w.e > 0", "'UnbalancedEmbedding'", _every(bidi)), ("w.s > 0", "'UnbalancedIsolate'", _every(bidi))], f", e AS (SELECT doc_id, t, {walk} AS w FROM d)")
     return out
