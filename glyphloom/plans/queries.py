@@ -255,4 +255,23 @@ def sql() -> dict[str, str]:
         "'m': 0, 'o': a.o || CASE WHEN (x.c = 8236 AND a.e = 0) OR (x.c = 8297 AND a.s = 0) THEN ',' || x.i ELSE '' END}, {'c': 0, 'i': 0::BIGINT, 'e': 0, 's': 0, 'm': 0, 'o': ''})"
     )
     out["bidi_control_balance"] = _cases([("w.o <> ''", "'OrphanPop'", "substr(w.o, 2)"), ("w.e > 0", "'UnbalancedEmbedding'", _every(bidi)), ("w.s > 0", "'UnbalancedIsolate'", _every(bidi))], f", e AS (SELECT doc_id, t, {walk} AS w FROM d)")
+    tones, zwj = D.TONES, "\u200d"
+    registered = "t IN (" + ", ".join(f"'{x}'" for x in sorted(ucd.zwj_sequences())) + ")"
+    not_mark = ucd.java_class(ucd.members("GCB=Extend"), negate=True)
+    out["renderer_divergence"] = _cases([
+        (_has(f"{not_mark}{extend}{{4}}"), "'CombiningStackOverflow'", _at(f"{not_mark}{extend}{{4}}")), (_has(D.VS), "'VariationSelectorVariance'", _at(D.VS)),
+        (f"contains(t, '{zwj}') AND NOT {registered}", "'UnregisteredZwjVariance'", _at(zwj)), (_has(wide), "'FullwidthVariance'", _at(wide)), (f"{_has(rtl)} AND {_has(ltr)}", "'MixedDirectionVariance'", "''"),
+    ])
+    stacked, wrong = f".{tones}{{2}}", f"{ucd.java_class(ucd.members('Emoji_Modifier_Base'), negate=True)}{tones}"
+    forced = f"{ucd.java_class(ucd.members('Emoji_Presentation'))}\\x{{FE0E}}"
+    out["skin_tone_variation_forgery"] = _cases([
+        (_has("(?s)" + stacked), "'StackedSkinTones'", f"concat({_first(stacked)} + 1, ',', {_first(stacked)} + 2)"), (_has(wrong), "'InvalidSkinToneTarget'", f"({_first(wrong)} + 1)::VARCHAR"), (_has(forced), "'ForcedTextStyle'", f"({_first(forced)} + 1)::VARCHAR"),
+    ])
+    other = ucd.java_class(ucd.zwj_alphabet(), negate=True)
+    alien, n_tones = f"{other}{zwj}.|.{zwj}{other}", f"length(regexp_replace(t, '[^{tones[1:]}', '', 'g'))"
+    doubled = f"array_to_string(list_filter(list_transform(range(1, length(t)), lambda i: CASE WHEN substr(t, i, 2) = '{zwj}{zwj}' THEN i - 1 END), lambda x: x IS NOT NULL), ',')"
+    out["emoji_zwj_integrity"] = _cases([
+        (f"(NOT contains(t, '{zwj}') AND {n_tones} <= 1) OR {registered}", "NULL", "''"), (f"contains(t, '{zwj}{zwj}')", "'DoubleZWJ'", doubled), (_has(f"(?s){alien}"), "'NonEmojiInjection'", f"({_first(alien)} + 1)::VARCHAR"),
+        ("length(t) > 16", "'OverLength'", "''"), (f"{n_tones} >= 5", "'SkinToneOverflow'", "''"), (f"contains(t, '{zwj}')", "'UnregisteredSequence'", _every(zwj)),
+    ])
     return out

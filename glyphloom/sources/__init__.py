@@ -66,3 +66,17 @@ def read_fixture(spark: SparkSession, path: str) -> DataFrame:
         F.map_from_entries(F.transform(F.regexp_extract_all(body, F.lit(r"(\w+)=([^;]*)"), F.lit(0)), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)), F.trim(F.split_part(x, F.lit("="), F.lit(2)))))).alias("attribution"),
         F.trim(F.regexp_extract("value", r"#\s*(.*)$", 1)).alias("name"),
     )
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """path and sha256 of each file, hashed where it is read."""
+    return whole_files(spark, path).select("path", F.sha2("data", 256).alias("sha256"))
+
+
+def attest(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """name, status of each file of a manifest (name, sha256) and of each file beside it: `ok`, `changed`,
+    `missing` or `unlisted`. files: digests()."""
+    have = files.select(F.substring_index("path", "/", -1).alias("name"), F.col("sha256").alias("found"))
+    d = manifest.join(have, "name", "full_outer")
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("sha256") == F.col("found"), "ok").otherwise("changed")
+    return d.select("name", status.alias("status"))

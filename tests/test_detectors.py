@@ -25,7 +25,7 @@ VECTORS = {
     "hash-input-stability": [("", None), ("61 20", "TrailingWhitespace"), ("61 D A", "TrailingWhitespace"), ("65 301", "NormalizationDrift"), ("E9", None), ("65 301 20", "TrailingWhitespace"), ("61 20 62", None)],
     "homoglyph-confusable": [
         ("48 65 6C 6C 6F", None), ("4E 65 74 68 65 72 435 75 6D", "TargetMatch"), ("430 70 70 6C 65", "TargetMatch"), ("E9 74 68 65 72 65 75 6D", "TargetMatch"), ("1D400 1D429 1D429 1D425 1D41E", "TargetMatch"),
-        ("FF30 FF41 FF59 FF50 FF41 FF4C", "TargetMatch"), ("65 78 70 72 65 DF", "TargetMatch"), ("65 78 70 72 65 3B2", "TargetMatch"), ("65 301", "DecompositionSwap"), ("1D7D8", "MathAlpha"), ("FF21 FF22", "WidthClass"), ("61 62 436", "CrossScriptMix"),
+        ("FF30 FF41 FF59 FF50 FF41 FF4C", "TargetMatch"), ("65 78 70 72 65 DF", "TargetMatch"), ("65 78 70 72 65 3B2", "TargetMatch"), ("65 301", "DecompositionSwap"), ("1D7D8", "MathAlpha"), ("FF21 FF22", "WidthClass"), ("61 62 436", "CrossScriptMix"), ("70 61 79 70 61 6C" + " 200B" * 200, "TargetMatch"),
     ],
     "identifier-form-drift": [("", None), ("3B1", None), ("1D44E", "IdentifierStatusShift"), ("FF21", "IdentifierStatusShift"), ("FB01", "IdentifierStatusShift"), ("2163", "IdentifierStatusShift")],
     "locale-case-inversion": [("61", None), ("49", "TurkishCaseDivergence"), ("130", "TurkishCaseDivergence"), ("4A 300", "LithuanianCaseDivergence"), ("12E 301", "LithuanianCaseDivergence")],

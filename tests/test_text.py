@@ -135,3 +135,13 @@ def test_sets(spark):
     assert spark.sql("SELECT nfc('é') AS x, restriction_level('a') AS y").first() == ("é", "ASCIIOnly")
     twice = plans.scan_distinct(spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, t string"), "t")
     assert {r["id"]: r["verdict"] and r["verdict"]["action"] for r in twice.collect()} == {1: "allow", 2: "allow", 3: None}
+
+
+def test_manifest(spark, tmp_path):
+    import hashlib
+
+    for n in ("a", "b", "x"):
+        (tmp_path / n).write_text(n)
+    listed = spark.createDataFrame([("a", hashlib.sha256(b"a").hexdigest()), ("b", "0"), ("c", "0")], "name string, sha256 string")
+    got = {r["name"]: r["status"] for r in sources.attest(sources.digests(spark, str(tmp_path)), listed).collect()}
+    assert got == {"a": "ok", "b": "changed", "c": "missing", "x": "unlisted"}
