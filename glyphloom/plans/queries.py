@@ -22,7 +22,7 @@ ATTACKS = [
     "‮txt.exe", "\U000e0001\U000e0041\U000e0042", "\U000e0061\U000e0062", "​​​", "‍", "⁠", "a  ", "￹x￺",
     "a️", "\U0001f600️", "z\U000e0101\U000e0102\U000e0103\U000e0104", "q︀r", "⁦abc", "⁩", "‪x‬", "\x01",
     "\x85", "﷐", "\U0001f44b\U0001f3fb\U0001f3fc", "a\U0001f3fd", "⌚︎", "\U0001f468‍‍\U0001f4bb", "ａ．ｂ", "e" + "́" * 35,
-    "שלום", "İ", "ß", "ﷺ", "раураl", "“a” “b” — c — d", "it is worth noting", "",
+    "שלום", "İ", "ß", "ﷺ", "раураl", "“a” “b” — c — d", "it is worth noting", "\u202ea\ufe00",
 ]
 PLANTED = "CASE doc_id % 32 " + " ".join(f"WHEN {i} THEN concat(substr(text, 1, 20), '{a}', substr(text, 21))" for i, a in enumerate(ATTACKS) if a) + " ELSE text END"
 
@@ -274,4 +274,17 @@ def sql() -> dict[str, str]:
         (f"(NOT contains(t, '{zwj}') AND {n_tones} <= 1) OR {registered}", "NULL", "''"), (f"contains(t, '{zwj}{zwj}')", "'DoubleZWJ'", doubled), (_has(f"(?s){alien}"), "'NonEmojiInjection'", f"({_first(alien)} + 1)::VARCHAR"),
         ("length(t) > 16", "'OverLength'", "''"), (f"{n_tones} >= 5", "'SkinToneOverflow'", "''"), (f"contains(t, '{zwj}')", "'UnregisteredSequence'", _every(zwj)),
     ])
+    pairs = [(ucd.java_class(ucd.members("Emoji")), "[\\x{FE0E}\\x{FE0F}]"), *[(ucd.java_class(b), f"\\x{{{vs:X}}}") for vs, b in sorted(ucd.standardized_pairs().items())]]
+    plain, known = "t", "|".join(b + vs for b, vs in pairs)
+    for b, vs in pairs:
+        plain = f"regexp_replace({plain}, '({b}){vs}', '\\1x', 'g')"
+    rest = f", e AS (SELECT doc_id, {plain} AS t, t AS u FROM d)"
+    some = f"regexp_extract_all(t, '{D.VS}')"
+    out["variation_selector_payload"] = _cases([
+        (f"NOT {_has(D.VS)}", "NULL", "''"), (f"{_has(known, 'u')} AND {_first(known, 'u')} + 1 < {_first(D.VS)}", "'EmbeddedAfterRegistered'", _every(D.VS)),
+        (f"len({some}) >= 4 AND len(list_distinct({some})) = 1", "'RepeatedBase'", _every(D.VS)), ("length(regexp_replace(t, '[^\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]', '', 'g')) >= 2", "'DirectPayload'", _every(D.VS)), ("true", "'IllegalTarget'", _every(D.VS)),
+    ], rest)
+    out["covert_display_compound"] = _cases([
+        (f"NOT {_has(bidi)}", "NULL", "''"), (_has(D.VS), "'BidiPlusUnregisteredVs'", f"concat({_first(bidi)}, ',', {_first(D.VS)})"), (_has(tag), "'BidiPlusTagBlock'", f"concat({_first(bidi)}, ',', {_first(tag)})"),
+    ], rest)
     return out
