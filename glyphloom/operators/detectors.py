@@ -623,7 +623,7 @@ def detect(df: DataFrame, text: str, families: list[str] | None = None, prefix:
     cols = {s: FAMILIES[s](text) for s in chosen if s != "source-display-divergence"}
     # a column that isn't deterministic is computed once where it stands; otherwise the optimizer would
     # copy a verdict's expression to wherever one of its fields is used
-    once = F.rand(0) >= 0
+    once = F.rand(0) >= 0 if df.isStreaming else F.monotonically_increasing_id() >= 0
     df = df.withColumns({prefix + s.replace("-", "_"): F.when(once, v) for s, v in cols.items()})
     if "source-display-divergence" in chosen:
         needed = ("tag-block-payload", "variation-selector-payload", "zero-width-payload", "bidi-control-balance", "homoglyph-confusable")
