@@ -18,6 +18,7 @@ tables in the shared folder.
 Defined cases: null and empty texts have fingerprint 0 and are linked like others; texts under a
 shingle's words are hashed whole; equal fingerprints are one node; a null id never names a
 component unless all its ids are null; repeated rows are kept; extra columns are ignored.
+keep_one takes rows, not ids: components whose ids are all null keep a row each.
 """
 
 from __future__ import annotations
@@ -84,18 +85,20 @@ def text_fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHING
     return np.packbits(2 * bits > counts[:, None], axis=1).view(np.uint64).reshape(-1)
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fp (the fingerprint's 64 bits as a long) of every row."""
-    d = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", number: str | None = None) -> DataFrame:
+    """id, fp (the fingerprint's 64 bits as a long) of every row, and its number (a long column) if one is named."""
+    d = df.select(F.col(id_col).alias("__id"), *([F.col(number).alias("__row")] if number else []), F.col(text).alias("__text"))
+    keys = d.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in text_chunks(batch, "__text"):
                 fp = text_fingerprints(raw, offsets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp)], ["__id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keys))), pa.array(fp)], [*keys, "fp"])
 
-    kind = d.schema["__id"].dataType.simpleString()
-    return d.mapInArrow(run, f"__id {kind}, fp long").withColumnRenamed("__id", id_col)
+    kinds = ", ".join(f"{k} {d.schema[k].dataType.simpleString()}" for k in keys)
+    out = d.mapInArrow(run, f"{kinds}, fp long").withColumnRenamed("__id", id_col)
+    return out.withColumnRenamed("__row", number) if number else out
 
 
 # ---- links inside buckets
@@ -314,15 +317,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     return few.unionByName(many).select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose id names their component, one for each component."""
-    near = near_duplicates(df, id_col, text)
-    first = stored(near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep")).agg(F.count(F.lit(1)).alias("__n")), "simhash-kept")
-    # a merge join at every size: the ids to keep grow with the documents
-    kept = df.join(first.select("__keep").hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi")
-    if first.where("__n > 1").limit(1).count():  # repeated rows of a kept id
-        kept = kept.dropDuplicates([id_col])
-    return kept
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, big: int = BIG) -> DataFrame:
+    """One row of df for each component: the one with the least id (a null id comes last), then the least
+    fingerprint, then the least stored row number. Ids may be null, and repeat within and across components."""
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    docs = fingerprints(rows.withColumnRenamed(id_col, "__key"), "__key", text, "__row")
+    order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("id"), "fp", "__row")
+    nodes = stored(docs.groupBy("fp").agg(F.min(order).alias("least")), "simhash-nodes")
+    tree = components(links(nodes.select("fp"), radius, big))
+    named = nodes.join(tree, nodes["fp"] == tree["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    first = stored(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__keep")), "simhash-kept")
+    # a merge join at every size: the rows to keep grow with the documents
+    return rows.join(first.hint("merge"), F.col("__row") == F.col("__keep"), "left_semi").drop("__row")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

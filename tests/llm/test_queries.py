@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -115,6 +116,30 @@ def test_near_duplicates(spark, small, big):
     assert len({c for _, c in got.values()}) < len(got)
 
 
+def test_keep_one_of_each_component(spark):
+    """One row of every component, by brute force, where ids are null, repeat and cross components."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(60)]
+    ids = [*[None] * 30, *[5] * 6, *[7, 8] * 6, *range(100, 112)]
+    rows = list(zip(ids, texts, strict=True))
+    rows += [(None, texts[0]), (3, texts[40]), (5, texts[40]), (5, texts[50]), (4, texts[51]), (2, None), (2, ""), (None, None), (None, texts[55])]
+    rows = [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)]
+    r.shuffle(rows)
+    _, label = brute_components([t for _, t, *_ in rows])
+    groups = collections.defaultdict(list)
+    for k, row in zip(label, rows, strict=True):
+        groups[k].append(row)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    got = [tuple(x) for x in got.collect()]
+    assert len(got) == len(groups) == 61
+    for g in groups.values():
+        kept = [x for x in got if x in g]
+        assert len(kept) == 1 and (kept[0][0] is None, kept[0][0]) == min(((x[0] is None, x[0]) for x in g), key=lambda v: (v[0], v[1] or 0))
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
