@@ -106,9 +106,10 @@ def multipliers(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFra
     return state.select("k", "scale", "l")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """id, size, source_size, target, taken."""
-    d = df.select(F.col(id_col).alias("__id"), _key(F.col(source)).alias("k"), word_count(F.col(text)).alias("size"))
+def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, number: str | None = None) -> DataFrame:
+    """id, size, source_size, target, taken, and the row's number (a column) if one is named."""
+    row = [F.col(number).alias("__row")] if number else []
+    d = df.select(F.col(id_col).alias("__id"), *row, _key(F.col(source)).alias("k"), word_count(F.col(text)).alias("size"))
     docs = stored(d.withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")), "mix-sizes")
     salted = stored(docs.groupBy("k", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-salted")
     cells = stored(salted.groupBy("k", "size").agg(F.sum("n").alias("docs")), "mix-cells")
@@ -132,27 +133,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     before = W.partitionBy("k", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     plan = salted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(c.drop("target"), ["k", "size"], "left")
     plan = stored(plan.join(goals.select("k", "words", "target"), "k"), "mix-plan")
-    place = F.row_number().over(W.partitionBy("k", "size", "salt").orderBy(F.xxhash64("__id", F.lit(7)), "__id"))
+    place = F.row_number().over(W.partitionBy("k", "size", "salt").orderBy(F.xxhash64("__id", F.lit(7)), "__id", *(["__row"] if number else [])))
     d = docs.withColumn("place", place).join(plan, ["k", "size", "salt"]).withColumn("place", F.col("place") + F.col("before"))
     base = F.expr("copies DIV docs")
     copies = base + (F.col("place") <= F.col("copies") - base * F.col("docs")).cast("long")
     own = F.when((F.col("left") > 0) & (F.col("place") == F.col("docs")), F.col("left")).when((F.col("left") < 0) & (F.col("place") == 1), F.col("left")).otherwise(0)
     taken = F.greatest(F.lit(0), F.least(most * F.col("size"), copies * F.col("size") + own))
-    return d.select(F.col("__id").alias(id_col), "size", F.col("words").alias("source_size"), "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    return d.select(F.col("__id").alias(id_col), "size", F.col("words").alias("source_size"), "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), *([F.col("__row").alias(number)] if number else []))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
     """The mix itself: each row of df as often as it is taken; what is taken of a document beyond
     whole copies is one copy of its first words, joined by spaces (length is then its code points)."""
     names = df.columns
-    taken = stored(mix(df, id_col, text, source).where("taken > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")), "mix-taken")
-    d, by = df, F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
-    if taken.groupBy("__id").count().where("count > 1").limit(1).count():  # rows with one id are matched in order
-        w = lambda *c: F.row_number().over(W.partitionBy(c[0]).orderBy(*c[1:]))
-        d = d.withColumn("__size", word_count(F.col(text))).withColumn("__at", w(F.col(f"`{id_col}`"), F.col("__size"), F.col(source))).withColumnRenamed("__size", "__words")
-        taken = taken.withColumn("__nth", w(F.col("__id"), F.col("__size"), F.col("__taken")))
-        by = by & (F.col("__at") == F.col("__nth"))
-    d = d.join(taken.hint("merge"), by)  # what is taken grows with the documents
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")  # ids may be null or repeat
+    taken = stored(mix(rows, id_col, text, source, number="__row").where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken")), "mix-taken")
+    d = rows.join(taken.hint("merge"), "__row")  # what is taken grows with the documents
     whole, part = F.expr("__taken DIV __size"), F.col("__taken") % F.col("__size")
     d = d.withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
     cut = F.array_join(F.slice(F.array_remove(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), ""), F.lit(1), F.greatest(F.lit(1), F.col("__copy").cast("int"))), " ")

@@ -212,6 +212,37 @@ def test_mixing(spark, small):
     assert mixed == {r["doc_id"]: r["taken"] for r in first if r["taken"]}
 
 
+def test_mixed_rows_of_one_id(spark):
+    """Copies stay with their rows, and sources meet their targets, where ids are null or repeat."""
+    r = random.Random(3)
+    rows = [(5, "", "en", "a", 0), (5, "one two three four five six seven eight nine ten", "en", "a", 48)]
+    rows += [(None if k % 2 else k % 7, " ".join(f"d{k}w{j}" for j in range(r.randint(1, 40))), "en", "abcd"[k % 4], k) for k in range(80)]
+    rows += [(None, "", "en", "b", 0), (None, None, "en", "c", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    size, of = collections.Counter(), {t: s for _, t, _, s, _ in rows}
+    for _, t, _, s, _ in rows:
+        size[s] += len((t or "").split())
+    target = {}
+    for x in mixing.mix(df).collect():
+        target[next(s for s in size if size[s] == x["source_size"])] = x["target"]
+    assert len(set(size.values())) == 4
+    words = collections.Counter()
+    first = {t.split()[0]: (i, t) for i, t, *_ in rows if t}
+    per = collections.Counter()
+    for i, t, _, s, _ in mixing.mixed_documents(df).collect():
+        own, whole = first[t.split()[0]]
+        assert i == own and whole.startswith(t) and of[whole] == s
+        words[s] += len(t.split())
+        per[whole] += len(t.split())
+    assert all(abs(words[s] - target[s]) <= 1 for s in size)
+    assert all(n <= 2 * len(t.split()) for t, n in per.items())
+    want = sorted(x["taken"] for x in mixing.mix(df).collect() if x["taken"])
+    assert sorted(per.values()) == want
+    # a row that isn't taken stands before the one that is
+    two = spark.createDataFrame([(5, "", "a"), (5, "one two three four five six seven eight nine ten", "a")], "doc_id long, text string, source string")
+    assert sorted(x["text"] for x in mixing.mixed_documents(two).collect()) == ["one two three four five", "one two three four five six seven eight nine ten"]
+
+
 def test_redaction(spark, edges):
     docs = spark.read.parquet(f"{edges}/documents.parquet")
     out = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
