@@ -416,9 +416,10 @@ def stream_safe_violation(c: Column | str) -> Column:
 
 def locale_case_inversion(c: Column | str) -> Column:
     t, between, above = _text(c), _marks_between(), _nonstarters(230)
-    turkish = f"I(?!{between}*\\x{{307}})|\\x{{130}}|\\x{{307}}(?<=I{between}{{0,30}}\\x{{307}})"
+    # the hit is the last character of a match: the dot above after an I, however far, else the I itself
+    turkish = f"I(?:{between}*+\\x{{307}})?|\\x{{130}}"
     lithuanian = f"[IJ\\x{{12E}}](?={between}*{above})|[\\x{{CC}}\\x{{CD}}\\x{{128}}]"
-    return verdict(t, (t.rlike(turkish), "TurkishCaseDivergence", one(first(t, turkish))), (t.rlike(lithuanian), "LithuanianCaseDivergence", one(first(t, lithuanian))))
+    return verdict(t, (t.rlike(turkish), "TurkishCaseDivergence", one(first(t, turkish) + F.char_length(F.regexp_extract(t, f"({turkish})", 1)) - 1)), (t.rlike(lithuanian), "LithuanianCaseDivergence", one(first(t, lithuanian))))
 
 
 @cache

@@ -79,3 +79,12 @@ def test_hash_contexts(spark):
     one = lambda **k: d.select(D.hash_input_stability("t", **k)["sub_threat"].alias("x")).first()["x"]
     assert one(encoding=F.col("e")) == "EncodingMismatch" and one(server=F.col("s")) == "WebhookSignatureDrift" and one(written=F.col("w")) is None
     assert {r: one(rule=r) for r in D.RFC_RULES} == {r: "SignedMessageRule" if r != "pgp4880TrailingWhitespace" and r != "rfc6376DkimRelaxed" else None for r in D.RFC_RULES}
+
+
+def test_far_dot_above(spark):
+    """The dot above an I is found behind any number of other marks, and the place is the dot's."""
+    texts = ["ab I" + "\u0323" * n + "\u0307 c" for n in (0, 1, 30, 31, 500)] + ["\u0307 I\u0323\u0301\u0307", "x\u0323\u0307", "aI b", "\U0001f600\u0130"]
+    want = [[n + 4] for n in (0, 1, 30, 31, 500)] + [[2], [], [1], [1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("v", D.locale_case_inversion("t"))
+    got = {r["k"]: (r["v"]["sub_threat"], r["v"]["positions"]) for r in df.collect()}
+    assert got == {k: ("TurkishCaseDivergence" if w else None, w) for k, w in enumerate(want)}
