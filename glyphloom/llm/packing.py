@@ -41,18 +41,24 @@ def _encoders(vocabulary: str, ranks: str):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(vocabulary)
-    full.encode_special_tokens = True
     with open(ranks, "rb") as f:
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return full, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
 
 
+@cache
+def _special(vocabulary: str, ranks: str) -> tuple[str, ...]:
+    """Texts of the vocabulary's added tokens, which are one id each."""
+    return tuple(t.content for t in _encoders(vocabulary, ranks)[0].get_added_tokens_decoder().values())
+
+
 def encode(texts: list[str], simple: list[bool], vocabulary: str = VOCABULARY, ranks: str = RANKS) -> Iterator[np.ndarray]:
     """Token ids of texts. Simple texts (no code point over U+024F, where Unicode versions of the two
-    libraries' letter classes agree) take the faster library over the same vocabulary."""
+    libraries' letter classes agree) without added tokens take the faster library over the same vocabulary."""
     full, fast = _encoders(vocabulary, ranks)
+    special = _special(vocabulary, ranks)
     for text, plain in zip(texts, simple, strict=True):
-        yield fast.encode_to_numpy(text, disallowed_special=()) if plain else np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+        yield fast.encode_to_numpy(text, disallowed_special=()) if plain and not any(x in text for x in special) else np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -82,6 +82,17 @@ def test_encoders_agree(texts):
         assert next(packing.encode([t], [True])).tolist() == full.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens():
+    """Ids are those of the vocabulary's own tokenizer, its added tokens among them."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.VOCABULARY)
+    for t in ["<|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>", "<|endoftext|", "é <|endoftext|> ñ", "漢 <|endoftext|> 字", "plain text, no token"]:
+        want = own.encode(t, add_special_tokens=False).ids
+        assert [i.tolist() for i in packing.encode([t, t], [max(map(ord, t)) < 0x250, False])] == [want, want]
+        assert want.count(50256) == t.count("<|endoftext|>")
+
+
 def test_telephone_codecs():
     assert media.MULAW[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0] and media.ALAW[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
     for table in (media.MULAW, media.ALAW):
