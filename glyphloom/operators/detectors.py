@@ -232,9 +232,10 @@ def differs_at(a: str, b: str) -> int | None:
 
 
 def homoglyph_of(s: str) -> dict:
-    # a skeleton is no shorter than the characters that can be in it, so long texts need none
-    hidden, longest = ucd.default_ignorable(), max(map(len, _target_letters()))
-    short = len(s) <= longest or sum(1 for x in s if not ud.combining(x) and ord(x) not in hidden) <= longest
+    # a skeleton is no shorter than the characters that leave letters in it, so long texts need none
+    longest = max(map(len, _target_letters()))
+    leaves = {x: bool(T.letters_of(x)) for x in set(s)} if len(s) > longest else {}
+    short = len(s) <= longest or sum(leaves[x] for x in s) <= longest
     if short and any(name != s for name in _target_letters().get(T.letters_of(s), ())):
         return _hazard("TargetMatch", [])
     for sub, lo, hi in (("MathAlpha", 0x1D400, 0x1D7FF), ("WidthClass", 0xFF01, 0xFFEF)):

@@ -88,3 +88,19 @@ def test_far_dot_above(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("v", D.locale_case_inversion("t"))
     got = {r["k"]: (r["v"]["sub_threat"], r["v"]["positions"]) for r in df.collect()}
     assert got == {k: ("TurkishCaseDivergence" if w else None, w) for k, w in enumerate(want)}
+
+
+def test_padded_target(tmp_path):
+    """Characters that leave only marks in a skeleton don't hide a target, however many there are."""
+    double = "p\u0430ypal"
+    for pad in ("\u0f73", "\u0f75", "\u0f81", "\u200b\u0f73\u0301"):
+        assert D.homoglyph_of(double + pad * 200)["sub_threat"] == "TargetMatch"
+    assert D.homoglyph_of(double + "x" * 200)["sub_threat"] != "TargetMatch"
+    (tmp_path / "confusables.txt").write_text("2E31 ;\t0301 ;\tMA\n0430 ;\t0061 ;\tMA\n")
+    D.ucd.use_data_dir(str(tmp_path))
+    D._target_letters.cache_clear()
+    try:
+        assert D.homoglyph_of(double + "\u2e31" * 200)["sub_threat"] == "TargetMatch"
+    finally:
+        D.ucd.use_data_dir(None)
+        D._target_letters.cache_clear()
