@@ -47,7 +47,7 @@ STAGES = [
     ("mixing sources", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
-#: SQL can express neither SimHash nor the tokens; tests hold run() against brute force.
+#: SQL can express neither SimHash nor the tokens; tests hold components and token pieces against brute force.
 ORACLE_SQL = None
 
 
