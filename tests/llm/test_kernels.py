@@ -1,9 +1,11 @@
 """Kernels against plain versions."""
 
 import itertools
+import math
 import random
 import re
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -119,23 +121,62 @@ def test_telephone_codecs():
     assert bytes(media.wave_parts(m)[3]) == b"abc" * 21 and len(media.doubled(x)) == 4000
 
 
+def brute_guess_cost(v):
+    """The cheapest segmentation by listing every span of every form."""
+    words = secrets.dictionary()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+    leet = "".join({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}.get(c, c) for c in low)
+    keys = "".join("1234567890-=[]\\;,./`"["!@#$%^&*()_+{}|:<>?~".index(c)] if c in "!@#$%^&*()_+{}|:<>?~" else c for c in low)
+    best = [0.0] + [math.inf] * len(v)
+    for i in range(len(v)):
+        for j in range(i + 1, len(v) + 1):
+            n, cost = j - i, [float(j - i)]
+            if n >= 3:
+                cost += [words[low[i:j]] + 0.3 * (v[i:j] != low[i:j])] if low[i:j] in words else []
+                cost += [words[leet[i:j]] + 1] if leet[i:j] in words else []
+                for layout in range(3):
+                    ways = [secrets.steps(layout).get(keys[k : k + 2]) for k in range(i, j - 1)]
+                    if all(ways):
+                        cost.append(math.log10(141) + math.log10(4.6) * (1 + sum(a != b for a, b in itertools.pairwise(ways))) + math.log10(n))
+                if {ord(low[k + 1]) - ord(low[k]) for k in range(i, j - 1)} in ({1}, {-1}):
+                    cost.append(math.log10(72 * n))
+            cost += [math.log10(365 * 120 * 8)] if re.fullmatch(r"(19|20)[0-9]{2}[-/.]?[01]?[0-9][-/.]?[0-3]?[0-9]|[0-3]?[0-9][-/.]?[01]?[0-9][-/.]?(19|20)[0-9]{2}", v[i:j]) else []
+            cost += [math.log10(120)] if re.fullmatch("(19|20)[0-9]{2}", v[i:j]) else []
+            cost += [p + math.log10(n / p) for p in range(1, 9) if n >= max(2 * p, 3) and all(v[k] == v[k + p] for k in range(i, j - p))]
+            best[j] = min(best[j], best[i] + min(cost) + math.log10(6))
+    return best[-1]
+
+
 def test_guess_cost():
-    def plain(v):
-        spans = {}
-        for i, j, c, _ in secrets.segments(v):
-            spans[i, j] = min(c, spans.get((i, j), 99))
-        for i in range(len(v)):
-            for j in range(i + 1, len(v) + 1):
-                spans[i, j] = min(spans.get((i, j), 99), float(j - i))
+    r = random.Random(7)
+    pieces = "password zxcvbn monkey poiuytrewq queen aaaa abab 2021-03-04 31.12.1999 1999 P4ssw0rd x9 $kQ abcdef zyx 12345 qwe asd ABC lololo 7 - the 1qaz2wsx !QAZ é İ".split()
+    values = ["password", "qwerty12", "x9$kq2", "p4ssword", "letmein!", "zxcvbnmonkey", "poiuytrewqueen"]
+    values += ["".join(r.choice(pieces) for _ in range(r.randint(1, 5))) for _ in range(150)] + ["".join(r.choice("ab12qwsz") for _ in range(r.randint(1, 22))) for _ in range(150)]
+    for v in values:
+        want = brute_guess_cost(v)
+        assert abs(secrets.guess_cost(v) - want) < 1e-9
+        got = secrets.guess_cost(v, 8.0)
+        assert (got >= 8) == (want >= 8) and (got >= 8 or abs(got - want) < 1e-9)
+    assert secrets.guess_cost("password1") < 5 < secrets.guess_cost("x9$kQ2vTz7")
 
-        def best(i):
-            return 0 if i == len(v) else min(c + secrets._KIND + best(j) for (a, j), c in spans.items() if a == i)
 
-        return best(0)
+def test_guess_cost_of_long_values():
+    """A long random value is settled at its start, a long run takes the memory of a few characters."""
+    r = random.Random(8)
+    assert secrets.guess_cost("".join(r.choice("abcXYZ019$%") for _ in range(2_000_000)), 8.0) >= 8
+    run = "a" * 20_000
+    secrets.guess_cost("aaaa", 8.0)
+    tracemalloc.start()
+    assert abs(secrets.guess_cost(run) - (1 + math.log10(6 * len(run)))) < 1e-9
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(run)
+    tracemalloc.stop()
 
-    for v in ("password", "qwerty12", "aaaaaa", "2021-03-04", "x9$kq2", "abcabc1", "p4ssword", "letmein!"):
-        assert abs(secrets.guess_cost(v) - plain(v)) < 1e-9
-    assert secrets.guess_cost("password1") < 5 < secrets.guess_cost("x9$kQ2vTz7")
+
+def test_guess_spans():
+    text = "pwd => zxcvbnmonkey; passphrase: x9$kQ2vTz7 pin=1234567890 auth: 'Vq8%rL2#mZ0' client key = hunter2"
+    want = [(text.index(v), text.index(v) + len(v), "guess") for v in ("x9$kQ2vTz7", "Vq8%rL2#mZ0") if brute_guess_cost(v) >= 8]
+    assert len(want) == 2 and [s for s in secrets.find_spans(text) if s[2] == "guess"] == want
+    assert all(brute_guess_cost(v) < 8 for v in ("zxcvbnmonkey", "1234567890", "hunter2"))
 
 
 def test_spans():
