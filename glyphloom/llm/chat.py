@@ -95,8 +95,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows of whole turns as an event log: each row opens a message."""
-    return conversations.select(F.col("conv_id").alias("conversation"), "turn", F.lit(0).alias("seq"), F.lit("message").alias("op"), "role", "text")
+    """Rows of whole turns as the event log that writes them: a turn of the assistant is drafted, regenerated and
+    streamed in two deltas, any other is sent with a slip and edited. Rows of one turn follow each other by role,
+    then text."""
+    c = conversations.select(F.col("conv_id").alias("conversation"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    c = c.withColumn("base", 4 * F.row_number().over(W.partitionBy("conversation", "turn").orderBy("role", "text")))
+    half = F.expr("char_length(text) DIV 2")
+    head, tail = F.substring("text", F.lit(1), half), F.substring(F.col("text"), half + 1, F.char_length("text"))
+    event = lambda k, op, text: F.struct((F.col("base") + k).alias("seq"), F.lit(op).alias("op"), text.alias("text"))
+    streamed = F.array(event(0, "message", head), event(1, "regenerate", F.lit("")), event(2, "delta", head), event(3, "delta", tail))
+    edited = F.array(event(0, "message", tail), event(1, "edit", F.col("text")))
+    return c.select("conversation", "turn", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e")).select("conversation", "turn", "e.seq", "e.op", "role", "e.text")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
