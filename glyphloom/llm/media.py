@@ -4,11 +4,14 @@ mu-law and A-law codes expand by lookup tables, IMA ADPCM decodes with numpy acr
 step per sample position, all blocks at once), and decoded speech is stored as PCM at twice the
 telephone rate. Audio columns hold RIFF/WAVE files.
 
-A payload of bytes is stored losslessly as 8-bit mu-law samples, one code per byte.
+A payload of bytes is stored losslessly as the codes of one of three formats, which its crc32
+chooses: mu-law or A-law samples, one for each byte, or blocks of IMA ADPCM, a byte being two
+4-bit codes after each block's header. What is stored is read back, decoded and resampled into a
+PCM column, and features are computed from that column.
 
 Defined cases: a null text is empty; an empty text is 64 zero bytes; equal texts have equal media
 and features; null media give null results; repeated rows are encoded one by one; extra columns
-are ignored. A row's media must fit one value; rows are handled a few megabytes at a time.
+are ignored. A row's media and PCM must fit one value each; rows are handled a few megabytes at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ from .common import table, text_chunks
 
 UNIT = 64
 RATE = 8000
+#: Bytes of an ADPCM block: a header of four, then a unit of codes.
+BLOCK = 4 + UNIT
+#: Media bytes that are decoded at a time; a longer value is decoded alone.
+PART = 1 << 20
 FORMATS = {1: "pcm", 6: "alaw", 7: "mulaw", 0x11: "ima_adpcm"}
 # IMA ADPCM, fixed values: step sizes, and how a code moves the step index.
 STEPS = np.array([
@@ -137,12 +144,44 @@ def wave_parts(media: bytes) -> tuple[int, int, int, memoryview]:
     raise ValueError("no data")
 
 
-def samples(kind: int, data: memoryview, align: int) -> np.ndarray:
-    if kind == 1:
-        return np.frombuffer(data, "<i2")
-    if kind == 0x11:
-        return adpcm_decode(bytes(data), align)
-    return (MULAW if kind == 7 else ALAW)[np.frombuffer(data, np.uint8)]
+def blocks_of(payload: bytes) -> bytes:
+    """IMA ADPCM blocks whose codes are the payload's bytes (a multiple of the unit), each from silence."""
+    out = np.zeros((len(payload) // UNIT, BLOCK), np.uint8)
+    out[:, 4:] = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    return out.tobytes()
+
+
+def payload_of(kind: int, data: memoryview, align: int) -> bytes:
+    """The codes of an audio file's data, without ADPCM headers."""
+    if kind != 0x11:
+        return bytes(data)
+    raw = np.frombuffer(data, np.uint8)
+    full = len(raw) // align * align
+    return raw[:full].reshape(-1, align)[:, 4:].tobytes() + raw[full + 4 :].tobytes()
+
+
+def samples(parts: list[tuple[int, int, int, memoryview]]) -> list[np.ndarray]:
+    """16-bit samples of several files (format, rate, block bytes, data). ADPCM blocks of one size are decoded
+    side by side, whichever file they are from."""
+    out: list = [None] * len(parts)
+    adpcm: dict[int, list[int]] = {}
+    for i, (kind, _, align, data) in enumerate(parts):
+        if kind == 0x11:
+            adpcm.setdefault(align, []).append(i)
+        elif kind == 1:
+            out[i] = np.frombuffer(data, "<i2")
+        else:
+            out[i] = (MULAW if kind == 7 else ALAW)[np.frombuffer(data, np.uint8)]
+    for align, some in adpcm.items():
+        # a file's last block may be shorter: it is filled up, and its spare samples go
+        full = [-(-len(parts[i][3]) // align) * align for i in some]
+        pcm = adpcm_decode(b"".join(bytes(parts[i][3]).ljust(n, b"\0") for i, n in zip(some, full, strict=True)), align)
+        at = 0
+        for i, n in zip(some, full, strict=True):
+            k = n // align * (2 * (align - 4) + 1)
+            out[i] = pcm[at : at + k - 2 * (n - len(parts[i][3]))]
+            at += k
+    return out
 
 
 def doubled(pcm: np.ndarray) -> np.ndarray:
@@ -163,8 +202,14 @@ def features(pcm: np.ndarray) -> str:
     return f"energy={int(x @ x) // len(x)} peak={int(np.abs(x).max())} crossings={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))} mean={int(x.sum()) // len(x)}"
 
 
+def store_payload(payload: bytes) -> bytes:
+    """A WAVE file that holds the payload (a multiple of the unit) as the codes of one of three formats."""
+    kind = (7, 6, 0x11)[zlib.crc32(payload) % 3]
+    return wave(blocks_of(payload), kind, bits=4, align=BLOCK) if kind == 0x11 else wave(payload, kind)
+
+
 def encode_text(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_bytes (of the text), media: the padded UTF-8 bytes as the samples of a mu-law WAVE file."""
+    """id, n_bytes (of the text), media: the padded UTF-8 bytes as a WAVE file's codes."""
     d = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,48 +217,53 @@ def encode_text(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
             for lo, hi, raw, offsets in text_chunks(batch, "__text"):
                 raw, sizes = raw.tobytes(), np.diff(offsets)
                 full = np.maximum(UNIT, -(-sizes // UNIT) * UNIT)
-                media = [wave(raw[a : a + n].ljust(f, b"\0")) for a, n, f in zip(offsets.tolist(), sizes.tolist(), full.tolist(), strict=False)]
+                media = [store_payload(raw[a : a + n].ljust(f, b"\0")) for a, n, f in zip(offsets.tolist(), sizes.tolist(), full.tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(media, pa.binary())], ["__id", "n_bytes", "media"])
 
     return d.mapInArrow(run, f"__id {d.schema['__id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("__id", id_col)
 
 
-def _each(df: DataFrame, keep: list[str], media: str, fields: str, one) -> DataFrame:
-    """keep and what one(media) returns, a tuple of fields; null where media is null."""
-    d = df.select(*[F.col(c) for c in keep], F.col(media).alias("__media"))
+def _each(df: DataFrame, keep: list[str], value: str, fields: str, several) -> DataFrame:
+    """keep and what several(values) returns, a tuple of fields for each value; null where the value is null.
+    Values are handled together up to PART bytes."""
+    d = df.select(*[F.col(c) for c in keep], F.col(value).alias("__value"))
     names = [f.split()[0] for f in fields.split(", ")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = [one(m.as_buffer().to_pybytes()) if m.is_valid else (None,) * len(names) for m in part.column(len(keep))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[pa.array(list(c)) for c in zip(*rows, strict=True)]], [*keep, *names])
+            col, lo = batch.column(len(keep)), 0
+            size = np.cumsum([len(m.as_buffer()) if m.is_valid else 0 for m in col])
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART, "right")))
+                own = [m.as_buffer().to_pybytes() if m.is_valid else None for m in col.slice(lo, hi - lo)]
+                found = iter(several([m for m in own if m is not None]))
+                rows = [(None,) * len(names) if m is None else next(found) for m in own]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(keep)], *[pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), types, strict=True)]], [*keep, *names])
+                lo = hi
 
     return d.mapInArrow(run, f"{schema}, {fields}")
 
 
 def to_pcm(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """keep, rate, pcm: telephony audio decoded, at twice its rate, as little-endian 16-bit PCM."""
-
-    def one(m: bytes) -> tuple:
-        kind, rate, align, data = wave_parts(m)
-        return 2 * rate, doubled(samples(kind, data, align)).astype("<i2").tobytes()
-
-    return _each(df, keep, media, "rate long, pcm binary", one)
+    """keep, and of the stored payload: payload_bytes, payload_sha256, tail_crc32 (its last unit); of the file:
+    media_bytes, media_sha256; the speech: rate, pcm (decoded, at twice its rate, little-endian 16-bit)."""
 
+    def several(files: list[bytes]) -> Iterator[tuple]:
+        parts = [wave_parts(m) for m in files]
+        for m, (kind, rate, align, data), pcm in zip(files, parts, samples(parts), strict=True):
+            payload = payload_of(kind, data, align)
+            yield len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), 2 * rate, doubled(pcm).astype("<i2").tobytes()
 
-def describe(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """keep, and of the stored payload: payload_bytes, payload_sha256, tail_crc32 (its last unit);
-    of the file: media_bytes, media_sha256; of the resampled PCM: feature."""
+    return _each(df, keep, media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate long, pcm binary", several)
 
-    def one(m: bytes) -> tuple:
-        kind, _, align, data = wave_parts(m)
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(doubled(samples(kind, data, align)))
 
-    return _each(df, keep, media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", one)
+def describe(df: DataFrame, keep: list[str], pcm: str = "pcm") -> DataFrame:
+    """keep, feature: of a column of little-endian 16-bit PCM."""
+    return _each(df, keep, pcm, "feature string", lambda values: [(features(np.frombuffer(v, "<i2")),) for v in values])
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(encode_text(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+    speech = to_pcm(encode_text(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+    return describe(speech, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
