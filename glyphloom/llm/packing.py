@@ -5,7 +5,8 @@ Full pieces are sequences of their own. The others are dealt into groups of boun
 group is packed by best-fit decreasing. Dual-feasible functions give a lower bound on the group's
 bins; a group that meets it is certified. Groups with a gap keep their full bins and exchange the
 pieces of the others (another hash deals them anew), and best-fit decreasing runs again, for as
-long as rounds are left and sequences are saved.
+long as a round saves more than one sequence in SAVING of those it packs anew; the gap that is left
+is at most the sum of the last round's gaps over bounds.
 
 Defined cases: a null text is empty and one token long (the end token); repeated rows are packed
 one by one; an empty table gives no rows; extra columns are ignored. A text's ids must fit in memory.
@@ -30,7 +31,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces that one group packs.
 GROUP = 1 << 16
-ROUNDS = 3
+#: A round that saves one sequence in this many, or fewer, is the last.
+SAVING = 100_000
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -53,7 +55,7 @@ def _special(vocabulary: str, ranks: str) -> tuple[str, ...]:
 
 
 def encode(texts: list[str], simple: list[bool], vocabulary: str = VOCABULARY, ranks: str = RANKS) -> Iterator[np.ndarray]:
-    """Token ids of texts. Simple texts (no code point over U+024F, where Unicode versions of the two
+    """Token ids of texts. Simple texts (no code point over U+027F, where Unicode versions of the two
     libraries' letter classes agree) without added tokens take the faster library over the same vocabulary."""
     full, fast = _encoders(vocabulary, ranks)
     special = _special(vocabulary, ranks)
@@ -134,12 +136,12 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def _pack(capacity: int, turn: int):
     def run(t: pa.Table) -> pa.Table:
         lengths = t["length"].to_numpy()
-        order = np.lexsort((t["ids_crc32"].to_numpy(), t["start"].to_numpy(), lengths))
+        order = np.lexsort((t["__n"].to_numpy(), lengths))
         t, lengths = t.take(pa.array(order)), lengths[order]
         bins, offsets, free = best_fit(lengths, capacity)
         gap = len(free) - lower_bound(lengths, capacity)
         base = (turn << 56) | (t["__group"][0].as_py() << 24)
-        out = t.select(["__id", "piece", "start", "length", "ids_crc32"])
+        out = t.select(["__id", "piece", "start", "length", "ids_crc32", "__n"])
         for name, col in (("sequence_id", base + bins), ("offset", offsets), ("__free", free[bins]), ("__gap", np.full(len(bins), gap))):
             out = out.append_column(name, pa.array(col, pa.int64()))
         return out
@@ -147,15 +149,15 @@ def _pack(capacity: int, turn: int):
     return run
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group: int = GROUP, saving: int = SAVING) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = stored(pieces(df, id_col, text, capacity), "pieces")
+    cut = stored(pieces(df, id_col, text, capacity).withColumn("__n", F.monotonically_increasing_id()), "pieces")
     rest = cut.where(F.col("length") < capacity)
     full = cut.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long, __free long, __gap long"
 
     def dealt(d: DataFrame, n: int, turn: int) -> DataFrame:
-        key = F.pmod(F.xxhash64(F.lit(turn), "__id", "piece", "ids_crc32"), F.lit(max(1, -(-n // group))))
+        key = F.pmod(F.xxhash64(F.lit(turn), "__n"), F.lit(max(1, -(-n // group))))  # by row: equal rows are dealt to all groups
         return stored(d.select(*cut.columns, key.alias("__group")).groupBy("__group").applyInArrow(_pack(capacity, turn), schema), "packed")
 
     def bins(d: DataFrame) -> int:
@@ -163,20 +165,25 @@ def pack(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: in
 
     n = rest.count()
     packed = dealt(rest, n, 0)
-    done, loose = packed, None
-    for turn in range(1, rounds + 1):
+    done, loose, turn = packed, None, 0
+    while True:
+        turn += 1
         gaps = packed.where((F.col("__gap") > 0) & (F.col("__free") > 0))
         n = gaps.count()
-        if not n:
+        if not n or turn > 126:  # a round's number is seven bits of a sequence's
             break
+        before = bins(gaps)
         again = dealt(gaps, n, turn)
-        if bins(again) >= bins(gaps):
+        saved = before - bins(again)
+        if saved <= 0:
             break
         kept = packed.where((F.col("__gap") <= 0) | (F.col("__free") <= 0))
         loose = kept if loose is None else loose.unionByName(kept)
         packed = again
         done = loose.unionByName(packed)
-    return done.select(*cut.columns, "sequence_id", "offset").unionByName(full).withColumnRenamed("__id", id_col)
+        if saved * saving <= before:
+            break
+    return done.select(*cut.columns, "sequence_id", "offset").unionByName(full).drop("__n").withColumnRenamed("__id", id_col)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
