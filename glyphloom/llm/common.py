@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +23,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only a local master, whose executors share the
+    driver's disk, gets a folder of its own where none is set; a cluster without one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="glyphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it."""
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the session's JVM ends."""
+    files, at = _at(spark, path)
+    files.deleteOnExit(at)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block go at its end: whatever is read from them must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later plans start there,
-    and a lost executor loses none of it. The files go when the session's JVM ends."""
+    and a lost executor loses none of it. The files go when the session's JVM ends, or before
+    that with `superseded` or `scratch`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    remove_at_end(spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def superseded(df: DataFrame) -> None:
+    """Delete a stored table that no later plan reads."""
+    remove(df.sparkSession, df._stored_at)
 
 
 def crc_bucket(key: Column, n: int) -> Column:

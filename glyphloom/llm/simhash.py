@@ -11,9 +11,9 @@ lane p % 64 of word p / 64, plane j holds bit j of 64 fingerprints, and a finger
 with 64 others at a time by adding the differing planes into carry-save counters. Blocks whose
 lanes have all passed the radius are abandoned early, and blocks that are linked with the query
 already are skipped, so a group of near copies costs about its size. Each bucket yields a
-spanning star, never its pairs. A bucket over `big` goes back to be dealt by further parts of the
-bits it does not share, again exactly. Components come from alternating star contractions over
-tables in the shared folder.
+spanning star, never its pairs. Buckets over `big` are found by counting before any is gathered,
+and are dealt by further parts of the bits that they do not share, again exactly. Components come
+from alternating star contractions over tables in the shared folder.
 
 Defined cases: null and empty texts have fingerprint 0 and are linked like others; texts under a
 shingle's words are hashed whole; equal fingerprints are one node; a null id never names a
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spaced, stored, table, text_chunks, word_bounds
+from .common import spaced, stored, superseded, table, text_chunks, word_bounds
 
 SHINGLE = 4
 RADIUS = 4
@@ -213,7 +213,7 @@ def _beyond(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.n
     return found
 
 
-def _kernel(radius: int, big: int):
+def _kernel(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
         if not parts:
@@ -224,52 +224,63 @@ def _kernel(radius: int, big: int):
         fresh = np.concatenate(([True], (m[1:] != m[:-1]) | (key[1:] != key[:-1])))
         start = np.flatnonzero(fresh)
         size = np.diff(np.concatenate((start, [len(m)])))
-        for s, k in zip(start[size > big].tolist(), size[size > big].tolist(), strict=True):
-            for lo in range(s, s + k, 1 << 16):
-                part = slice(lo, min(lo + (1 << 16), s + k))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[part]), pa.array(fp[part]), pa.array(m[part])], ["a", "b", "big"])
-        some = np.repeat((size > 1) & (size <= big), size)
-        mid = size[(size > 1) & (size <= big)]
-        fp = fp[some]
+        fp = fp[np.repeat(size > 1, size)]
+        size = size[size > 1]
         if not len(fp):
             return
-        label = bucket_links(fp.view(np.uint64), np.cumsum(mid) - mid, mid, radius)
+        label = bucket_links(fp.view(np.uint64), np.cumsum(size) - size, size, radius)
         linked = np.flatnonzero(label != np.arange(len(fp)))
         for lo in range(0, len(linked), 1 << 16):
             k = linked[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[k]), pa.array(fp[label[k]]), pa.nulls(len(k), pa.int32())], ["a", "b", "big"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[k]), pa.array(fp[label[k]])], ["a", "b"])
 
     return run
 
 
+def oversized(rows: DataFrame, count: int, big: int) -> DataFrame | None:
+    """m, key of the buckets of over `big` rows, counted before any bucket meets in a task. Hashes of buckets
+    are tallied first, as they add up before the shuffle; only buckets behind a full hash are counted one by
+    one. Both tables have count / big rows at most."""
+    if count <= big:
+        return None
+    d = rows.withColumn("h", F.pmod(F.xxhash64("m", "key"), F.lit(max(1024, 16 * count // big))))
+    full = d.groupBy("h").count().where(F.col("count") > big).select("h")
+    found = d.join(F.broadcast(full), "h", "left_semi").groupBy("m", "key").count().where(F.col("count") > big)
+    found = stored(found.select("m", "key"), "simhash-oversized")
+    return found if found.limit(1).count() else None
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, big: int = BIG) -> DataFrame:
     """nodes: distinct fp. Returns edges a, b whose components are those of all links."""
     spark = nodes.sparkSession
     n = nodes.count()
     signed = lambda v: v - (1 << 64) if v >> 63 else v
+    dealt = lambda ms: F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(v))).alias("key"), "fp") for k, v in ms])
     chosen = masks(0, radius, parts_for(n, radius))
-    rows = nodes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(v))).alias("key"), "fp") for i, v in enumerate(chosen)])).alias("r")).select("r.*")
+    rows = nodes.select(F.explode(dealt(list(enumerate(chosen)))).alias("r")).select("r.*")
     count, found = n * len(chosen), None
     while True:
         width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 2_000_000 + 1)
-        out = stored(rows.repartition(width, "m", "key").mapInArrow(_kernel(radius, big), "a long, b long, big int"), "simhash-links")
-        edges = out.where("big IS NULL").select("a", "b")
+        able = [i for i, v in enumerate(chosen) if 64 - v.bit_count() > radius]  # other buckets have 2 ** radius rows at most
+        over, rest = oversized(rows if len(able) == len(chosen) else rows.where(F.col("m").isin(able)), count, big), None
+        if over is not None:  # such buckets are dealt by further parts of the bits that they don't share
+            rest = stored(rows.join(F.broadcast(over), ["m", "key"], "left_semi").select("m", "fp"), "simhash-rest")
+            rows = rows.join(F.broadcast(over), ["m", "key"], "left_anti")
+        edges = stored(rows.select("m", "key", "fp").repartition(width, "m", "key").mapInArrow(_kernel(radius), "a long, b long"), "simhash-links")
         found = edges if found is None else found.unionByName(edges)
-        rest = out.where("big IS NOT NULL").select(F.col("a").alias("fp"), "big")
-        deep = [r[0] for r in rest.select("big").distinct().collect()]  # masks, at most as many as were chosen
-        if not deep:
+        if rest is None:
             return found
-        finer = {i: masks(chosen[i], radius, 2) for i in deep}
-        place, chosen = {}, []
-        for i, ms in finer.items():
-            place[i] = [(len(chosen) + k, v) for k, v in enumerate(ms)]
-            chosen += ms
+        deep = [r[0] for r in rest.select("m").distinct().collect()]  # masks, at most as many as were chosen
+        place, finer = {}, []
+        for i in deep:
+            ms = masks(chosen[i], radius, 2)
+            place[i] = [(len(finer) + k, v) for k, v in enumerate(ms)]
+            finer += ms
         keyed = None
         for i, ms in place.items():
-            one = F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(v))).alias("key"), "fp") for k, v in ms])
-            keyed = F.when(F.col("big") == i, one) if keyed is None else keyed.when(F.col("big") == i, one)
+            keyed = F.when(F.col("m") == i, dealt(ms)) if keyed is None else keyed.when(F.col("m") == i, dealt(ms))
         rows = rest.select(F.explode(keyed).alias("r")).select("r.*")
-        count = rest.count() * 15
+        count, chosen = rest.count() * max(map(len, place.values())), finer
 
 
 # ---- components
@@ -290,7 +301,8 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = stored(small.where("a <> b").distinct(), label)
+        old, e = e, stored(small.where("a <> b").distinct(), label)
+        superseded(old)
         now = measure(e)
         if now == was:
             break
