@@ -119,6 +119,11 @@ def test_telephone_codecs():
     assert np.abs(got[: len(x)].astype(int) - x)[50:].mean() < 300
     m = media.wave(b"abc" * 21)
     assert bytes(media.wave_parts(m)[3]) == b"abc" * 21 and len(media.doubled(x)) == 4000
+    # files of several formats together, blocks of two sizes, a last block cut short
+    files = [(0x11, 8000, 64, memoryview(data)), (7, 8000, 1, memoryview(b"abc")), (0x11, 8000, 36, memoryview(media.adpcm_encode(x[:300], 36))), (0x11, 8000, 64, memoryview(data[:100])), (1, 8000, 2, memoryview(x.tobytes()))]
+    many = media.samples(files)
+    assert many[0].tolist() == got.tolist() and many[4].tolist() == x.tolist() and many[1].tolist() == media.MULAW[[97, 98, 99]].tolist()
+    assert many[2].tolist() == media.adpcm_decode(bytes(files[2][3]), 36).tolist() and many[3].tolist() == plain(data[:64]) + plain(data[64:100])
 
 
 def brute_guess_cost(v):

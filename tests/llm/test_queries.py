@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glyphloom.llm import chat, mixing, packing, quality, registry, secrets, simhash, urls
+from glyphloom.llm import chat, common, media, mixing, packing, quality, registry, secrets, simhash, urls
 
 from .test_kernels import brute_guess_cost
 
@@ -58,6 +58,15 @@ def test_language_and_toxicity(spark, small):
     assert all((r["p"] >= 0.5) == (r["key"] % 4 == 0) for r in got)
 
 
+def test_turns_as_events(spark, small):
+    """The log that writes whole turns has drafts, deltas and edits, and folds back into the turns."""
+    c = spark.read.parquet(f"{small}/conversations.parquet")
+    events = chat.as_events(c)
+    assert {r["op"] for r in events.select("op").distinct().collect()} == set(chat.OPS)
+    got = sorted((str(r["conversation"]), str(r["turn"]), r["role"], r["text"]) for r in chat.fold(events).collect())
+    assert got == sorted((str(r["conv_id"]), str(r["turn"]), r["role"] or "", r["text"] or "") for r in c.collect())
+
+
 def test_event_folding(spark):
     log = [
         (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", ""), (1, 1, 2, "delta", None, "He"), (1, 1, 3, "delta", None, "llo"),
@@ -245,6 +254,35 @@ def test_mixed_rows_of_one_id(spark):
     assert sorted(x["text"] for x in mixing.mixed_documents(two).collect()) == ["one two three four five", "one two three four five six seven eight nine ten"]
 
 
+def test_shared_folder():
+    """A cluster must name its shared folder; a local master may do without."""
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_scratch(spark):
+    import os
+
+    with common.scratch(spark):
+        kept = common.stored(spark.range(3), "test")
+        path = kept._stored_at.removeprefix("file://")
+        assert kept.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_packing_equal_rows(spark):
+    """Equal rows, ids null among them, are dealt to all groups, and rounds go on while they save sequences."""
+    d = spark.createDataFrame([(None, "one two three " * (1 + i % 90)) for i in range(600)], "doc_id long, text string")
+    rows = [r.asDict() for r in packing.pack(d, group=50).collect()]
+    n = check_packing(rows, [r["text"] for r in d.collect()])
+    assert n <= -(-sum(r["length"] for r in rows) // 1024) * 1.1
+
+
 def test_redaction(spark, edges):
     docs = spark.read.parquet(f"{edges}/documents.parquet")
     out = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
@@ -268,16 +306,60 @@ def test_pipeline(spark, small):
     check_packing(out, [r["text"] for r in mixing.mixed_documents(docs).collect()])
 
 
-def test_digests(spark):
-    d = spark.createDataFrame([(1, "abc"), (2, "é" * 32)], "doc_id long, text string")
-    from glyphloom.llm import media
-
-    for r in media.describe(media.encode_text(d), ["doc_id", "n_bytes"]).collect():
-        p = {1: b"abc", 2: "é".encode() * 32}[r["doc_id"]]
-        full = p.ljust(64, b"\0")
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), 64, hashlib.sha256(full).hexdigest(), zlib.crc32(full))
-    pcm = media.to_pcm(media.encode_text(d), ["doc_id"]).collect()
-    assert all(r["rate"] == 16000 and len(r["pcm"]) == 256 for r in pcm)
+def plain_speech(kind, payload):
+    """16-bit samples of a payload's codes, one after the other, at twice the rate."""
+    out = []
+    if kind == 0x11:
+        for at in range(0, len(payload), 64):
+            value = index = 0
+            out.append(0)
+            for byte in payload[at : at + 64]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(media.STEPS[index])
+                    diff = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                    value = max(-32768, min(32767, value - diff if code & 8 else value + diff))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                    out.append(value)
+    for byte in payload if kind != 0x11 else b"":
+        u = ~byte & 255 if kind == 7 else byte ^ 0x55
+        seg, part = u >> 4 & 7, u & 15
+        size = ((part << 3) + 0x84 << seg) - 0x84 if kind == 7 else (part << 4) + 8 if not seg else (part << 4) + 0x108 << seg - 1
+        out.append(-size if bool(u & 0x80) == (kind == 7) else size)
+    twice = []
+    at = lambda i: out[max(0, min(len(out) - 1, i))]
+    for i, x in enumerate(out):
+        twice += [x, max(-32768, min(32767, (-at(i - 1) + 9 * x + 9 * at(i + 1) - at(i + 2) + 8) >> 4))]
+    return twice
+
+
+def test_telephony(spark, small):
+    """All of op4's columns against plain Python: the payload by itself, the feature from codes decoded one by one."""
+    texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, small)}
+    made = media.encode_text(spark.read.parquet(f"{small}/documents.parquet"))
+    files = {r["doc_id"]: r["media"] for r in made.collect()}
+    speech = {r["doc_id"]: r for r in media.to_pcm(made, ["doc_id"]).collect()}
+    rows, kinds = registry.QUERIES["op4_telephony_audio"](spark, small).collect(), set()
+    assert len(rows) == len(texts)
+    for r in rows:
+        k = r["doc_id"]
+        data = texts[k].encode()
+        payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(files[k]), hashlib.sha256(files[k]).hexdigest())
+        kind = int.from_bytes(files[k][20:22], "little")
+        kinds.add(kind)
+        x = plain_speech(kind, payload)
+        assert speech[k]["rate"] == 16000 and np.frombuffer(speech[k]["pcm"], "<i2").tolist() == x
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))  # noqa: B905
+        assert r["feature"] == f"energy={sum(v * v for v in x) // len(x)} peak={max(map(abs, x))} crossings={crossings} mean={sum(x) // len(x)}"
+    assert kinds == {6, 7, 0x11}
+
+
+def test_null_media(spark):
+    d = spark.createDataFrame([(1, None), (2, bytearray(media.wave(b"a" * 64)))], "id long, media binary")
+    got = {r["id"]: r for r in media.to_pcm(d, ["id"]).collect()}
+    assert got[1]["pcm"] is None and got[1]["payload_bytes"] is None and got[2]["payload_bytes"] == 64
+    assert {r["id"]: r["feature"] for r in media.describe(media.to_pcm(d, ["id"]), ["id"]).collect()}[1] is None
 
 
 def test_secret_columns(spark, tmp_path):
