@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, superseded, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -34,6 +34,8 @@ SALTS = 256
 #: Words are counted in this many parts, so that sums of rates are sums of integers.
 GRAIN = 1024
 STEPS = 60
+#: Newton steps between two stored tables.
+PER_TABLE = 3
 
 
 def word_count(text: Column) -> Column:
@@ -80,28 +82,38 @@ def rate(multiplier: Column, size: Column, scale: Column, most: int = MOST) -> C
 
 
 def multipliers(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
-    """cells: k, size, docs; goals: k, words, target, scale. Returns k, scale, l for the sources that have words."""
+    """cells: k, size, docs; goals: k, words, target, scale. Returns k, scale, l for the sources that have words
+    and whose target is not all that they can give."""
     top = math.log(most)
-    state = goals.where("words > 0").select(
+    state = goals.where((F.col("words") > 0) & (F.col("target") < most * F.col("words"))).select(
         "k", "scale", "target", F.lit(0.0).alias("l"),
         (F.least(F.lit(0.0), F.log(F.greatest("target", F.lit(1e-300)) / F.col("words"))) * F.col("scale")).alias("lo"), (F.lit(top) * F.col("scale")).alias("hi"), F.lit(False).alias("done"),
     )
     state = stored(state, "mix-dual")
-    for _ in range(STEPS):
+
+    def newton(state: DataFrame) -> DataFrame:
         d = cells.where("size > 0").join(state, "k")
         r = rate(F.col("l"), F.col("size"), F.col("scale"), most)
         words = F.col("docs") * F.col("size")
         sums = d.groupBy("k").agg(
+            *[F.first(c).alias(c) for c in ("scale", "target", "l", "lo", "hi", "done")],
             F.sum((words * GRAIN * r).cast("long")).alias("f"),
             F.sum((words * GRAIN * F.when(r < most, r * F.col("size") / F.col("scale")).otherwise(0.0)).cast("long")).alias("g"),
         )
-        d = state.join(sums, "k").withColumn("off", F.col("f") / GRAIN - F.col("target"))
+        d = sums.withColumn("off", F.col("f") / GRAIN - F.col("target"))
         lo, hi = F.when(F.col("off") <= 0, F.col("l")).otherwise(F.col("lo")), F.when(F.col("off") >= 0, F.col("l")).otherwise(F.col("hi"))
-        newton = F.when(F.col("g") > 0, F.col("l") - F.col("off") * GRAIN / F.col("g"))
-        step = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        next_ = F.when(F.col("g") > 0, F.col("l") - F.col("off") * GRAIN / F.col("g"))
+        step = F.when((next_ > lo) & (next_ < hi), next_).otherwise((lo + hi) / 2)
         near = F.col("done") | (F.abs("off") <= 0.5) | (hi - lo <= 1e-12 * F.greatest(F.lit(1.0), F.abs("l")))
-        state = stored(d.select("k", "scale", "target", F.when(near, F.col("l")).otherwise(step).alias("l"), lo.alias("lo"), hi.alias("hi"), near.alias("done")), "mix-dual")
-        if not state.where("NOT done").limit(1).count():
+        return d.select("k", "scale", "target", F.when(near, F.col("l")).otherwise(step).alias("l"), lo.alias("lo"), hi.alias("hi"), near.alias("done"))
+
+    for _ in range(0, STEPS, PER_TABLE):
+        seen, new = Observation(), state
+        for _ in range(PER_TABLE):
+            new = newton(new)
+        old, state = state, stored(new.observe(seen, F.count_if(~F.col("done")).alias("open")), "mix-dual")
+        superseded(old)
+        if not seen.get.get("open"):
             break
     return state.select("k", "scale", "l")
 
@@ -109,15 +121,17 @@ def multipliers(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFra
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, number: str | None = None) -> DataFrame:
     """id, size, source_size, target, taken, and the row's number (a column) if one is named."""
     row = [F.col(number).alias("__row")] if number else []
-    d = df.select(F.col(id_col).alias("__id"), *row, _key(F.col(source)).alias("k"), word_count(F.col(text)).alias("size"))
-    docs = stored(d.withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")), "mix-sizes")
+    d = df.select(F.col(id_col).alias("__id"), *row, _key(F.col(source)).alias("k"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("__said"))
+    # rows that share an id are told apart by their texts, rows without one by their place
+    own = F.xxhash64(F.coalesce(F.col("__id"), F.monotonically_increasing_id()), "__said")
+    docs = stored(d.withColumn("salt", F.pmod(own, F.lit(SALTS)).cast("int")), "mix-sizes")
     salted = stored(docs.groupBy("k", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-salted")
     cells = stored(salted.groupBy("k", "size").agg(F.sum("n").alias("docs")), "mix-cells")
     sums = cells.groupBy("k").agg(F.sum(F.col("size") * F.col("docs")).alias("words"), F.greatest(F.lit(1), F.max("size")).cast("double").alias("scale"))
     goals = stored(targets(sums, weights, share, most), "mix-goals")
     dual = multipliers(cells, goals, most)
     # copies of each cell, by systematic rounding in order of size
-    c = cells.where("size > 0").join(goals.select("k", "words", "target"), "k").join(dual, "k")
+    c = cells.where("size > 0").join(goals.select("k", "words", "target"), "k").join(dual, "k", "left")
     full = F.col("target") >= most * F.col("words")
     mass = F.col("docs") * F.when(full, F.lit(float(most))).otherwise(rate(F.col("l"), F.col("size"), F.col("scale"), most))
     upto = W.partitionBy("k").orderBy("size").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -133,7 +147,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     before = W.partitionBy("k", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     plan = salted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(c.drop("target"), ["k", "size"], "left")
     plan = stored(plan.join(goals.select("k", "words", "target"), "k"), "mix-plan")
-    place = F.row_number().over(W.partitionBy("k", "size", "salt").orderBy(F.xxhash64("__id", F.lit(7)), "__id", *(["__row"] if number else [])))
+    place = F.row_number().over(W.partitionBy("k", "size", "salt").orderBy(F.xxhash64("__id", F.lit(7)), "__id", "__said", *(["__row"] if number else [])))
     d = docs.withColumn("place", place).join(plan, ["k", "size", "salt"]).withColumn("place", F.col("place") + F.col("before"))
     base = F.expr("copies DIV docs")
     copies = base + (F.col("place") <= F.col("copies") - base * F.col("docs")).cast("long")
