@@ -5,8 +5,9 @@ has seen are kept sorted, beside the log-probability that each class gives the n
 and lower orders included; contexts likewise with each class's backoff weight. A lookup finds a key
 by its top bits and a short walk, and n-grams that no class has seen fall through to lower orders.
 
-Counts are aggregated by Spark over a bounded sample of labelled rows; the finished model, at most
-as large as that sample, is broadcast.
+Counts are aggregated by Spark over a sample of labelled rows that is bounded in rows and in code
+points; the finished model has at most as many n-grams as the sample has code points, a float for
+each class, and is broadcast.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import GAP, spaced, text_chunks
+from .common import GAP, spaced, stored, text_chunks
 
 #: Odd multipliers of a code point by its distance from the end, from a fixed seed.
 MULTIPLIERS = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,11 +138,12 @@ class Model:
         return total, size
 
 
-def sample(df: DataFrame, label: Column, key: Column, rows: int, held: int = 0) -> DataFrame:
-    """df with `cls` (label as text, not null): about `rows` rows of each class at most, chosen by
-    a hash of the key; with held, a further `held` rows of each class as slice 1, the others being slice 0."""
+def sample(df: DataFrame, label: Column, rows: int, held: int = 0) -> DataFrame:
+    """df with `cls` (label as text, not null): about `rows` rows of each class at most, chosen by a hash of the
+    row's place, so that equal keys and texts are chosen one by one; with held, a further `held` rows of each
+    class as slice 1, the others being slice 0."""
     d = df.withColumn("cls", label.cast("string")).where("cls IS NOT NULL")
-    u = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     counts = {r["cls"]: r["count"] for r in d.groupBy("cls").count().collect()}  # one row for each class
     if not counts:
         return d.where("false").withColumn("slice", F.lit(0))
@@ -150,6 +153,17 @@ def sample(df: DataFrame, label: Column, key: Column, rows: int, held: int = 0)
     return d.withColumn("__u", u).where(F.col("__u") < b).withColumn("slice", (F.col("__u") >= a).cast("int") if held else F.lit(0)).drop("__u")
 
 
+def within(sampled: DataFrame, text: str, chars: int) -> DataFrame:
+    """Rows of a stored sample (cls, slice, text) up to `chars` code points of each class and slice, whole texts
+    in the order of a hash; the first of them always. Only lengths are sorted."""
+    d = sampled.withColumn("__at", F.monotonically_increasing_id())
+    w = W.partitionBy("cls", "slice").orderBy(F.xxhash64("__at"), "__at")
+    upto = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    lengths = d.select("cls", "slice", "__at", F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n"))
+    kept = lengths.withColumn("upto", upto).withColumn("first", F.row_number().over(w) == 1).where((F.col("upto") <= chars) | F.col("first")).select("__at")
+    return stored(d.join(F.broadcast(kept), "__at", "left_semi").drop("__at"), "sample")
+
+
 def count_grams(df: DataFrame, order: int, text: str = "text", sequences=text_sequences) -> DataFrame:
     """df: cls, text. Returns cls, gram (code points as 4-byte integers), n."""
     d = df.select("cls", F.col(text).alias("__text"))

@@ -4,8 +4,9 @@ The language with the lowest length-normalised cross-entropy is chosen. Rejectio
 slice of labelled rows outside the counts gives each language the cross-entropy that only a share
 REJECT of its own texts exceed; a text over it is marked rejected, and its score halved.
 
-The models are fitted on a bounded sample of labelled rows, at most ROWS of each language for counts
-and HELD for calibration; every whole text is scored.
+The models are fitted on a bounded sample of labelled rows, about ROWS of each language at most for
+counts and HELD for calibration, and CHARS code points, shared among the languages, for each of the
+two (whole texts, the first always); every whole text is scored.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the first
 language in order; with nothing to learn from, all is `und`; repeated rows are scored one by one;
@@ -23,22 +24,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, stored, table, text_chunks
-from .kneser import Model, count_grams, kneser_ney, read_counts, sample
+from .kneser import Model, count_grams, kneser_ney, read_counts, sample, within
 
 ORDER = 4
 ROWS, HELD = 4000, 1000
+CHARS = 64_000_000
 REJECT = 0.005
 #: Cross-entropies compare as probabilities at this many nats a code point.
 SHARPNESS = 20.0
 UNKNOWN = "und"
 
 
-def fit(df: DataFrame, text: Column, lang: Column, key: Column, order: int = ORDER, rows: int = ROWS, held: int = HELD) -> tuple[Model | None, np.ndarray]:
+def fit(df: DataFrame, text: Column, lang: Column, order: int = ORDER, rows: int = ROWS, held: int = HELD, chars: int = CHARS) -> tuple[Model | None, np.ndarray]:
     """The model of labelled rows, and each language's rejection bound."""
-    d = sample(df.select(key.alias("__key"), text.alias("text"), lang.alias("__lang")), F.col("__lang"), F.col("__key"), rows, held)
+    d = sample(df.select(text.alias("text"), lang.alias("__lang")), F.col("__lang"), rows, held)
     d = stored(d.select("cls", "slice", "text"), "language-sample")
-    counts = count_grams(d.where("slice = 0"), order)
     classes = sorted(r[0] for r in d.select("cls").distinct().collect())  # the languages
+    d = within(d, "text", chars // max(1, len(classes)))
+    counts = count_grams(d.where("slice = 0"), order)
     if not classes:
         return None, np.empty(0)
     model = kneser_ney(read_counts(counts, order, classes), classes, order)
@@ -82,7 +85,7 @@ def score(df: DataFrame, keep: list[str], text: str, model: Model, bound: np.nda
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_bucket(F.col("doc_id"), 4) == 2
-    model, bound = fit(docs.where(~held), F.col("text"), F.col("lang"), F.col("doc_id"))
+    model, bound = fit(docs.where(~held), F.col("text"), F.col("lang"))
     d = docs.select("doc_id", held.alias("held_out"), "text")
     if model is None:
         return d.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -10,11 +10,11 @@ languages, add up over a long text and drown a handful of insults.) A logistic c
 evidence's logarithm gives the score; it and the choice of `cut` come from labelled rows outside
 the counts.
 
-Fitting takes a bounded sample of labelled rows, at most ROWS of each class for counts and HELD for
-the curve; every whole text is scored.
+Fitting takes a bounded sample of labelled rows, about ROWS of each class at most for counts and HELD
+for the curve, CHARS code points of each (whole texts, the first always); every whole text is scored.
 
 Defined cases: a null or empty text has evidence 0; labels other than 0 and 1 and null ones teach
-nothing, and without rows of both classes all scores are 0; several labels of one id all count;
+nothing, and without rows of both classes all scores are 0; different labels of one id all count, equal ones once;
 repeated rows are scored one by one; extra columns are ignored.
 """
 
@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, stored, table, text_chunks
-from .kneser import Model, count_words, read_words, sample, shared_backoff, word_sequences
+from .kneser import Model, count_words, read_words, sample, shared_backoff, within, word_sequences
 
 ORDER = 8
 ROWS, HELD = 3000, 1000
+CHARS = 16_000_000
 CUTS = (0.75, 3.0)
 SPOTS = 0.002
 #: What is added to evidence before its logarithm is taken.
@@ -98,11 +99,13 @@ def curve(x: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
     return np.array([w[0] / scale, w[1]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, rows: int = ROWS, held: int = HELD) -> tuple[Model, np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, rows: int = ROWS, held: int = HELD, chars: int = CHARS) -> tuple[Model, np.ndarray] | None:
     """Model and logistic curve of labelled rows; None without rows of both classes. docs: key, text;
-    labels: key, label. The sample is taken of labels alone, and is small enough to broadcast."""
-    chosen = sample(labels.where("label IN (0, 1)"), F.col("label"), F.col("key"), rows, held).select("key", "cls", "slice")
-    d = stored(docs.join(F.broadcast(chosen), "key").select("cls", "slice", "text"), "toxicity-sample")
+    labels: key, label. A sample of different labels, small enough to broadcast, is taken first, then one of
+    the rows that have them, as an id may have many."""
+    chosen = stored(sample(labels.where("label IN (0, 1)").select("key", "label").distinct(), F.col("label"), rows + held).select("key", "label"), "toxicity-labels")
+    d = sample(docs.join(F.broadcast(chosen), "key"), F.col("label"), rows, held)
+    d = within(stored(d.select("cls", "slice", "text"), "toxicity-sample"), "text", chars)
     classes = ["0", "1"]
     counts = read_words(count_words(d.where("slice = 0")), order, classes)
     if not all(len(g) for g, _ in counts):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glyphloom.llm import chat, common, media, mixing, packing, quality, registry, secrets, simhash, urls
+from glyphloom.llm import chat, common, kneser, language, media, mixing, packing, quality, registry, secrets, simhash, toxicity, urls
 
 from .test_kernels import brute_guess_cost
 
@@ -49,8 +50,6 @@ def test_language_and_toxicity(spark, small):
     rows = registry.QUERIES["op1_language_id"](spark, small).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]) > 0.95
-    from glyphloom.llm import toxicity
-
     texts = [(i, ("plain words of a quiet text number %d " % i) * 5 + ("you utter scumbag nitwit " * 2 if i % 4 == 0 else "")) for i in range(400)]
     docs = spark.createDataFrame(texts, "key long, text string")
     fitted = toxicity.fit(docs, docs.select("key", (F.col("key") % 4 == 0).cast("int").alias("label")).where("key < 300"))
@@ -58,6 +57,130 @@ def test_language_and_toxicity(spark, small):
     assert all((r["p"] >= 0.5) == (r["key"] % 4 == 0) for r in got)
 
 
+def plain_values(counts, order):
+    """For each n, the n-grams' values: counts at the highest order, kinds of symbol before them at lower ones."""
+    out = {order: counts}
+    for n in range(order - 1, 0, -1):
+        longer = {g[-n - 1 :] for g in counts}
+        out[n] = collections.Counter(g[1:] for g in longer)
+    return out
+
+
+def plain_kneser_ney(classes, order):
+    """(gram, class) -> probability, and (context, class) -> (total, weight), of interpolated Kneser-Ney from
+    each class's counts of full n-grams, by dictionaries."""
+    symbols = len({g[-1] for counts in classes.values() for g in counts}) + 1
+    tables = {}
+    for c, counts in classes.items():
+        for n, values in plain_values(counts, order).items():
+            once, twice = (sum(v == k for v in values.values()) for k in (1, 2))
+            cut = once / (once + 2 * twice) if once and twice else 0.75
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, v in values.items():
+                total[g[:-1]] += v
+                kinds[g[:-1]] += 1
+            tables[c, n] = values, cut, total, kinds
+
+    def probability(c, gram):
+        if not gram:
+            return 1 / symbols
+        values, cut, total, kinds = tables[c, len(gram)]
+        ctx = gram[:-1]
+        rest = probability(c, gram[1:])
+        if not total[ctx]:
+            return rest
+        return max(values.get(gram, 0) - cut, 0) / total[ctx] + cut * kinds[ctx] / total[ctx] * rest
+
+    return probability
+
+
+def sequences(text, order):
+    cps = [0x110000] * (order - 1) + [ord(c) for c in text.lower()]
+    return [tuple(cps[i - order + 1 : i + 1]) for i in range(order - 1, len(cps))]
+
+
+def test_language_by_brute_force(spark, small):
+    """Predictions and scores of the query against Kneser-Ney models kept in dictionaries."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    learnt = docs.where(common.crc_bucket(F.col("doc_id"), 4) != 2).select("text", "lang")
+    rows = kneser.sample(learnt, F.col("lang"), language.ROWS, language.HELD).where("slice = 0").collect()
+    assert 40 < len(rows) < 75
+    counts = {c: collections.Counter(g for r in rows if r["cls"] == c for g in sequences(r["text"], 4)) for c in ("en", "fr")}
+    probability = plain_kneser_ney(counts, 4)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in registry.QUERIES["op1_language_id"](spark, small).collect():
+        grams = sequences(texts[r["doc_id"]], 4)
+        cost = {c: -sum(math.log(probability(c, g)) for g in grams) / len(grams) for c in counts}
+        best = min(cost, key=cost.get)
+        assert r["lang_pred"] == best and abs(r["cross_entropy"] - cost[best]) < 1e-4 and abs(r["margin"] - (max(cost.values()) - cost[best])) < 1e-4
+        odds = sum(math.exp(-language.SHARPNESS * (v - cost[best])) for v in cost.values())
+        assert abs(r["score"] - (0.5 if r["rejected"] else 1.0) / odds) < 1e-3
+
+
+def test_toxicity_by_brute_force(spark, tmp_path):
+    """Evidence of the query's rows against shared-backoff models kept in dictionaries."""
+    r = random.Random(9)
+    plain, bad = "the stone and bright water under a ring over garden music lamp".split(), "scumbag nitwit dolt vermin".split()
+    texts = [" ".join([r.choice(plain) for _ in range(r.randint(5, 30))] + [r.choice(bad) for _ in range(2 * (i % 4 == 0))]) for i in range(160)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = registry.QUERIES["op2_toxicity"](spark, str(tmp_path)).collect()
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in rows)
+    assert all(x["predicted"] == int(x["score"] >= 0.5) == int(x["doc_id"] % 4 == 0) for x in rows)
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet").select(F.col("doc_id").alias("key"), F.col("toxic").alias("label")).where(common.crc_bucket(F.col("key"), 5) != 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    kept = []
+
+    def keep(counts, order, classes):  # what the fit counts: words by class
+        kept.append([(x["cls"], x["word"], x["n"]) for x in counts.collect()])
+        return kneser.read_words(counts, order, classes)
+
+    old, toxicity.read_words = toxicity.read_words, keep
+    try:
+        model, _ = toxicity.fit(docs, labels)
+    finally:
+        toxicity.read_words = old
+    order = toxicity.ORDER
+    own = {c: collections.Counter() for c in "01"}
+    for c, word, n in kept[0]:
+        for g in sequences(word + " ", order):
+            own[c][g] += n
+    base = plain_kneser_ney({"all": own["0"] + own["1"]}, order)
+    got = {x["key"]: x["evidence"] for x in toxicity.evidence(docs, ["key"], "text", model).collect()}
+
+    def evidence(text, cut):
+        total = {c: collections.Counter() for c in own}
+        lost = {c: collections.Counter() for c in own}
+        for c, counts in own.items():
+            for g, n in counts.items():
+                total[c][g[:-1]] += n
+                lost[c][g[:-1]] += min(n, cut)
+
+        def probability(c, g):
+            ctx = g[:-1]
+            if not total[c][ctx]:
+                return base("all", g)
+            return max(own[c][g] - cut, 0) / total[c][ctx] + lost[c][ctx] / total[c][ctx] * base("all", g)
+
+        each = [sum(math.log(probability("1", g) / probability("0", g)) for g in sequences(w + " ", order)) for w in text.split()]
+        return sum(math.log1p(toxicity.SPOTS * math.expm1(min(x, 50.0))) for x in each) / len(each)
+
+    assert any(all(abs(got[i] - evidence(t, cut)) < 1e-5 for i, t in enumerate(texts)) for cut in toxicity.CUTS)
+
+
+def test_samples_are_bounded(spark):
+    """Rows of one key, or none, are sampled one by one; texts come whole up to a number of code points."""
+    d = spark.range(20000).select(F.lit(None).cast("long").alias("key"), F.lit("same text").alias("text"), F.lit("x").alias("label"))
+    assert 800 < kneser.sample(d, F.col("label"), 800, 200).count() < 1200
+    s = common.stored(kneser.sample(d, F.col("label"), 800, 200).select("cls", "slice", "text"), "test")
+    got = {r["slice"]: r["count"] for r in kneser.within(s, "text", 900).groupBy("slice").count().collect()}
+    assert got == {0: 100, 1: 100}
+    assert kneser.within(s, "text", 1).count() == 2
+    docs = d.select(F.lit(7).cast("long").alias("key"), F.lit("plain words").alias("text"))
+    labels = spark.createDataFrame([(7, 0)] * 50 + [(7, 1)] * 50, "key long, label int")
+    assert toxicity.fit(docs, labels, rows=100, held=50) is not None
+
+
 def test_turns_as_events(spark, small):
     """The log that writes whole turns has drafts, deltas and edits, and folds back into the turns."""
     c = spark.read.parquet(f"{small}/conversations.parquet")
