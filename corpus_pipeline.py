@@ -1,8 +1,7 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage works on all that its predecessor kept and is written as Parquet before the next one
-reads it, so a run can start again from any finished stage. All stages but the last return the
-columns of documents.
+reads it. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphloom.llm import mixing, packing, quality, secrets, simhash
-from glyphloom.llm.common import shared_dir, table
+from glyphloom.llm.common import remove, remove_at_end, scratch, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +46,20 @@ STAGES = [
     ("mixing sources", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
-#: SQL can express neither SimHash nor the tokens; tests hold components and token pieces against brute force.
+#: SQL can express neither SimHash nor the tokens; the tests hold run() against the rules, components, redaction
+#: and token pieces in plain Python, and against what the mix and the packing promise.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again. A stage's own tables go when
+    it is written, a stage's output when its successor is, and the last one when the session ends."""
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
         docs = spark.read.parquet(f"{base}/{i}")
+    remove_at_end(spark, base)
     return docs
