@@ -246,24 +246,22 @@ def _each(df: DataFrame, keep: list[str], value: str, fields: str, several) -> D
     return d.mapInArrow(run, f"{schema}, {fields}")
 
 
-def to_pcm(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+def describe(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """keep, and of the stored payload: payload_bytes, payload_sha256, tail_crc32 (its last unit); of the file:
-    media_bytes, media_sha256; the speech: rate, pcm (decoded, at twice its rate, little-endian 16-bit)."""
+    media_bytes, media_sha256; the speech: rate, pcm (decoded, at twice its rate, little-endian 16-bit), and the
+    feature of that PCM."""
 
     def several(files: list[bytes]) -> Iterator[tuple]:
         parts = [wave_parts(m) for m in files]
-        for m, (kind, rate, align, data), pcm in zip(files, parts, samples(parts), strict=True):
-            payload = payload_of(kind, data, align)
-            yield len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), 2 * rate, doubled(pcm).astype("<i2").tobytes()
+        for m, (kind, rate, align, data), one in zip(files, parts, samples(parts), strict=True):
+            payload, pcm = payload_of(kind, data, align), doubled(one).astype("<i2").tobytes()
+            yield (
+                len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(),
+                2 * rate, pcm, features(np.frombuffer(pcm, "<i2")),
+            )
 
-    return _each(df, keep, media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate long, pcm binary", several)
-
-
-def describe(df: DataFrame, keep: list[str], pcm: str = "pcm") -> DataFrame:
-    """keep, feature: of a column of little-endian 16-bit PCM."""
-    return _each(df, keep, pcm, "feature string", lambda values: [(features(np.frombuffer(v, "<i2")),) for v in values])
+    return _each(df, keep, media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, rate long, pcm binary, feature string", several)
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    speech = to_pcm(encode_text(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
-    return describe(speech, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
+    return describe(encode_text(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"]).drop("rate", "pcm")

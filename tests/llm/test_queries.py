@@ -511,7 +511,7 @@ def test_telephony(spark, small):
     texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, small)}
     made = media.encode_text(spark.read.parquet(f"{small}/documents.parquet"))
     files = {r["doc_id"]: r["media"] for r in made.collect()}
-    speech = {r["doc_id"]: r for r in media.to_pcm(made, ["doc_id"]).collect()}
+    speech = {r["doc_id"]: r for r in media.describe(made, ["doc_id"]).collect()}
     rows, kinds = registry.QUERIES["op4_telephony_audio"](spark, small).collect(), set()
     assert len(rows) == len(texts)
     for r in rows:
@@ -531,9 +531,9 @@ def test_telephony(spark, small):
 
 def test_null_media(spark):
     d = spark.createDataFrame([(1, None), (2, bytearray(media.wave(b"a" * 64)))], "id long, media binary")
-    got = {r["id"]: r for r in media.to_pcm(d, ["id"]).collect()}
+    got = {r["id"]: r for r in media.describe(d, ["id"]).collect()}
     assert got[1]["pcm"] is None and got[1]["payload_bytes"] is None and got[2]["payload_bytes"] == 64
-    assert {r["id"]: r["feature"] for r in media.describe(media.to_pcm(d, ["id"]), ["id"]).collect()}[1] is None
+    assert {r["id"]: r["feature"] for r in media.describe(d, ["id"]).collect()}[1] is None
 
 
 def test_secret_columns(spark, tmp_path):
