@@ -25,11 +25,15 @@ HANGUL_BASE, L_BASE, V_BASE, T_BASE, V_COUNT, T_COUNT = 0xAC00, 0x1100, 0x1161,
 STREAM_SAFE_LIMIT = 30
 
 
-def arrow(one: Callable, returns: str) -> Callable[..., Column]:
-    """A vectorised function of one(value, ...); equal values of a batch are computed once."""
+def vectorised(one: Callable, returns: str, *needs: str) -> Callable[..., Column]:
+    """An Arrow function of one(value, ...); equal values of a batch are computed once. needs names the
+    tables of ucd that it reads: they go to the workers with it."""
     kind = to_arrow_type(DataType.fromDDL(returns))
+    state = ucd.snapshot(needs) if needs else None
 
     def run(first: pa.Array, *rest: pa.Array) -> pa.Array:
+        if state:
+            ucd.restore(state)
         known: dict = {}
         out = []
         for args in zip(first.to_pylist(), *[r.to_pylist() for r in rest], strict=True):
@@ -41,7 +45,12 @@ def arrow(one: Callable, returns: str) -> Callable[..., Column]:
             out.append(known[args])
         return pa.array(out, kind)
 
-    udf = F.arrow_udf(run, returns)
+    return F.arrow_udf(run, returns)
+
+
+def arrow(one: Callable, returns: str, *needs: str) -> Callable[..., Column]:
+    """A vectorised function of columns or their names."""
+    udf = vectorised(one, returns, *needs)
     return lambda *cols: udf(*[F.col(c) if isinstance(c, str) else c for c in cols])
 
 
@@ -202,17 +211,17 @@ def letters_of(s: str) -> str:
 
 
 def skeleton(c: Column | str) -> Column:
-    return arrow(skeleton_of, "string")(_text(c))
+    return arrow(skeleton_of, "string", "confusables")(_text(c))
 
 
 def settled_skeleton(c: Column | str) -> Column:
     """The skeleton taken until it stays the same."""
-    return arrow(settled_skeleton_of, "string")(_text(c))
+    return arrow(settled_skeleton_of, "string", "confusables")(_text(c))
 
 
 def letter_skeleton(c: Column | str) -> Column:
     """The settled skeleton without marks and default ignorables."""
-    return arrow(letters_of, "string")(_text(c))
+    return arrow(letters_of, "string", "confusables")(_text(c))
 
 
 # ---- scripts and restriction levels (UTS #39)
@@ -274,7 +283,7 @@ def covered_cjk(sets: list[frozenset[str]]) -> bool:
 
 
 def restriction_level(c: Column | str) -> Column:
-    return unless_ascii(c, arrow(level_of, "string"), F.lit(LEVELS[0]))
+    return unless_ascii(c, arrow(level_of, "string", "identifier"), F.lit(LEVELS[0]))
 
 
 def script_union(c: Column | str) -> Column:
@@ -300,7 +309,7 @@ def allowed(s: str) -> bool:
 
 
 def is_allowed_identifier(c: Column | str) -> Column:
-    return arrow(allowed, "boolean")(_text(c))
+    return arrow(allowed, "boolean", "identifier")(_text(c))
 
 
 # ---- segmentation (UAX #29) and width
@@ -320,19 +329,23 @@ def words(c: Column | str) -> Column:
     return arrow(lambda s: [w for w in regex.split(r"(?w)\b", s, flags=regex.V1) if w], "array<string>")(_text(c))
 
 
-def sentences(c: Column | str) -> Column:
-    """The pieces between sentence boundaries, each with its closing punctuation and spaces."""
-    end = r"(?s).*?(?:[.!?…。！？]+[\"'’”)\]]*(?:\s+|$)(?![\p{Ll}])|[\n  \x85]+|\Z)"
-    return arrow(lambda s: [x for x in regex.findall(end, s) if x], "array<string>")(_text(c))
+def character_width(x: str, ambiguous: int = 1) -> int:
+    if ud.category(x) in ("Cc", "Mn", "Me") or x in "\u200c\u200d" or "\ufe00" <= x <= "\ufe0f":
+        return 0
+    return {"F": 2, "W": 2, "A": ambiguous}.get(ud.east_asian_width(x), 1)
+
+
+_SHOWN = regex.compile(r"[\p{Emoji_Presentation}\p{Extended_Pictographic}\p{Regional_Indicator}\x{FE0F}]".replace(r"\x{FE0F}", "\ufe0f"))
 
 
-def display_width(c: Column | str) -> Column:
-    """Columns of a fixed-width terminal: two for wide graphemes, none for marks and controls."""
+def display_width(c: Column | str, ambiguous: int = 1, clusters: bool = True) -> Column:
+    """Columns of a fixed-width terminal. Of graphemes: two for emoji, else the widest character; or, without
+    clusters, the sum over characters. Characters of ambiguous width take one or two."""
 
     def one(s: str) -> int:
-        wide = lambda g: any(ud.east_asian_width(x) in "FW" or x == "️" for x in g)
-        seen = lambda g: any(ud.category(x) not in ("Mn", "Me", "Cc", "Cf") for x in g)
-        return sum(2 if wide(g) else int(seen(g)) for g in regex.findall(r"\X", s))
+        if not clusters:
+            return sum(character_width(x, ambiguous) for x in s)
+        return sum(2 if _SHOWN.search(g) else max(character_width(x, ambiguous) for x in g) for g in regex.findall(r"\X", s))
 
     plain = F.char_length(F.regexp_replace(_text(c), r"[\x00-\x1F\x7F]", ""))
     return F.coalesce(arrow(one, "int")(F.when(~is_ascii(c), _text(c))), plain)
@@ -419,7 +432,7 @@ def is_noncharacter(cp: Column) -> Column:
     return cp.between(0xFDD0, 0xFDEF) | (cp.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
 
 
-# ---- internationalised domain names
+# ---- Punycode
 
 
 def punycode_encode(c: Column | str) -> Column:
@@ -436,72 +449,6 @@ def punycode_decode(c: Column | str) -> Column:
     return arrow(one, "string")(_text(c))
 
 
-_DOTS = regex.compile("[.。．｡]")
-_DEVIATIONS = "ßς‌‍"
-
-
-def map_label(s: str) -> str:
-    """UTS #46 mapping: ignorables go, case is folded (deviations kept), the result is NFC."""
-    hidden = ucd.default_ignorable()
-    s = "".join(x if x in _DEVIATIONS else ud.normalize("NFKC", x).casefold() for x in s if ord(x) not in hidden or x in "‌‍")
-    return ud.normalize("NFC", s)
-
-
-def label_errors(s: str) -> list[str]:
-    out = []
-    if not s:
-        return ["empty"]
-    if s[2:4] == "--":
-        out.append("hyphen34")
-    if s[0] == "-" or s[-1] == "-":
-        out.append("hyphen-edge")
-    if ud.category(s[0])[0] == "M":
-        out.append("leading-mark")
-    if not regex.fullmatch(r"[\p{L}\p{M}\p{N}\-·͵׳״・‌‍۽۾་〇]*", s):
-        out.append("disallowed")
-    if regex.search(r"(?<!\p{ccc=9})[‍]", s) or regex.search(r"(?<!\p{ccc=9}|\p{Joining_Type=D}|\p{L})[‌]", s):
-        out.append("joiner")
-    classes = [ucd.bidi_class(ord(x)) for x in s]
-    if {"R", "AL", "AN"} & set(classes):
-        tail = [k for k in classes if k != "NSM"][-1:]
-        if classes[0] in ("R", "AL"):
-            if set(classes) - {"R", "AL", "AN", "EN", "ES", "CS", "ET", "ON", "BN", "NSM"} or tail[0] not in ("R", "AL", "EN", "AN") or {"EN", "AN"} <= set(classes):
-                out.append("bidi")
-        else:
-            out.append("bidi")
-    return out
-
-
-def to_ascii_domain(s: str) -> dict:
-    labels, errors = [], []
-    for label in _DOTS.split(s):
-        mapped = map_label(label)
-        if mapped.startswith("xn--"):
-            try:
-                shown = mapped[4:].encode("ascii").decode("punycode")
-                if ud.normalize("NFC", shown) != shown or shown.isascii():
-                    errors.append("ace")
-            except (UnicodeError, ValueError, OverflowError):
-                shown = mapped
-                errors.append("ace")
-        else:
-            shown = mapped
-            errors += label_errors(mapped) if mapped or label else []
-        ascii_form = mapped if mapped.isascii() else "xn--" + mapped.encode("punycode").decode()
-        if len(ascii_form) > 63:
-            errors.append("label-length")
-        labels.append((ascii_form, shown))
-    whole = ".".join(a for a, _ in labels)
-    if len(whole.rstrip(".")) > 253:
-        errors.append("domain-length")
-    return {"ascii": whole, "unicode": ".".join(u for _, u in labels), "errors": sorted(set(errors))}
-
-
-def idna(c: Column | str) -> Column:
-    """UTS #46 processing of a domain: its ASCII and Unicode forms, and what is wrong with it."""
-    return arrow(to_ascii_domain, "struct<ascii: string, unicode: string, errors: array<string>>")(_text(c))
-
-
 # ---- order
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import unicodedata as ud
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +107,7 @@ def decoded_tags(c: Column | str) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(_text(c), F.lit(r"[\x{E0020}-\x{E007E}]"), F.lit(0)), lambda x: F.char(F.ascii(x) - 0xE0000)), "")
 
 
-@cache
+@ucd.derived
 def _registered() -> str:
     # the selector is matched first, as it is rare; then what comes before it
     by_vs = "|".join(f"\\x{{{vs:X}}}(?<={ucd.quick_class(bases)}\\x{{{vs:X}}})" for vs, bases in sorted(ucd.standardized_pairs().items()))
@@ -132,14 +131,14 @@ def variation_selector_payload(c: Column | str) -> Column:
     return F.when(t.rlike(VS), found).otherwise(verdict(t))
 
 
-@cache
+@ucd.derived
 def _zero_width(form: Callable = ucd.quick_class) -> str:
     away = {*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0xE0000, 0xE0080), *range(0x202A, 0x202F), *range(0x2066, 0x206A)}
     extra = {*range(0x200B, 0x2010), *range(0x2060, 0x2065), 0x202F, 0xFEFF, *range(0xFFF9, 0xFFFC)}
     return form((ucd.default_ignorable() - away) | extra)
 
 
-@cache
+@ucd.derived
 def _zwj_in_emoji() -> str:
     letters = ucd.quick_class(ucd.zwj_alphabet())
     return f"{ZWJ}(?<={letters}{ZWJ})(?={letters})"
@@ -211,7 +210,7 @@ def noncharacter_control(c: Column | str) -> Column:
 # ---- identity
 
 
-@cache
+@ucd.derived
 def _target_letters() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for name in TARGETS:
@@ -254,7 +253,7 @@ def homoglyph_confusable(c: Column | str) -> Column:
     """Long ASCII text can't be a target's double, so only the rest is looked at."""
     t = _text(c)
     open_ = F.when(~T.is_ascii(t) | (F.char_length(t) <= 4 * max(map(len, TARGETS))), t)
-    return F.coalesce(T.arrow(homoglyph_of, VERDICT)(open_), verdict(t))
+    return F.coalesce(T.arrow(homoglyph_of, VERDICT, "confusables", "identifier")(open_), verdict(t))
 
 
 def mixed_script_of(s: str) -> dict:
@@ -277,7 +276,7 @@ def mixed_script_admissibility(c: Column | str) -> Column:
     t = _text(c)
     ascii_outside = r"[\x{00}-\x{7F}&&[^A-Za-z0-9_'\-.:]]"
     plain = verdict(t, (t.rlike(ascii_outside), "RestrictedStatusCp", every(t, ascii_outside)))
-    return F.coalesce(T.arrow(mixed_script_of, VERDICT)(F.when(~T.is_ascii(t), t)), plain)
+    return F.coalesce(T.arrow(mixed_script_of, VERDICT, "identifier")(F.when(~T.is_ascii(t), t)), plain)
 
 
 def _is_registered_zwj(t: Column) -> Column:
@@ -327,7 +326,7 @@ def source_display_divergence(c: Column | str, parts: dict[str, Column] | None =
     return verdict(t, (n > 1, "Compound", _none()), *[(f, sub, _none()) for sub, f in fired.items()])
 
 
-@cache
+@ucd.derived
 def _extend() -> str:
     return ucd.quick_class(ucd.members("GCB=Extend"))
 
@@ -346,7 +345,7 @@ def filename_disguise(c: Column | str) -> Column:
     )
 
 
-@cache
+@ucd.derived
 def _strong() -> tuple[str, str]:
     return ucd.quick_class(ucd.with_bidi("R", "AL")), ucd.quick_class(ucd.with_bidi("L"))
 
@@ -400,12 +399,12 @@ def normalization_bomb(c: Column | str) -> Column:
     return T.unless_ascii(c, T.arrow(bomb_of, VERDICT), verdict(_text(c)))
 
 
-@cache
+@ucd.derived
 def _nonstarters(*keep: int) -> str:
     return ucd.quick_class(i for i in range(ucd.LAST + 1) if (k := ud.combining(chr(i))) and (not keep or k in keep) and not 0xD800 <= i <= 0xDFFF)
 
 
-@cache
+@ucd.derived
 def _marks_between() -> str:
     return ucd.java_class(i for i in range(ucd.LAST + 1) if ud.combining(chr(i)) not in (0, 230) and not 0xD800 <= i <= 0xDFFF)
 
@@ -423,7 +422,7 @@ def locale_case_inversion(c: Column | str) -> Column:
     return verdict(t, (t.rlike(turkish), "TurkishCaseDivergence", one(first(t, turkish) + F.char_length(F.regexp_extract(t, f"({turkish})", 1)) - 1)), (t.rlike(lithuanian), "LithuanianCaseDivergence", one(first(t, lithuanian))))
 
 
-@cache
+@ucd.derived
 def _expanding(upper: bool, form: Callable = ucd.quick_class) -> str:
     return form(i for i in range(ucd.LAST + 1) if len(chr(i).upper() if upper else chr(i).lower()) > 1)
 
@@ -433,7 +432,7 @@ def case_expansion_mismatch(c: Column | str) -> Column:
     return verdict(t, *[(t.rlike(k), sub, one(first(t, k))) for k, sub in ((_expanding(True), "UpperExpansion"), (_expanding(False), "LowerExpansion"))])
 
 
-@cache
+@ucd.derived
 def _width_folds(width: str, form: Callable = ucd.quick_class) -> str:
     eaw = ud.east_asian_width
     return form(i for i in range(ucd.LAST + 1) if not 0xD800 <= i <= 0xDFFF and eaw(chr(i)) == width and eaw(ud.normalize("NFKD", chr(i))[0]) != width)
@@ -458,7 +457,7 @@ def nfc_idempotence_witness(c: Column | str) -> Column:
 # ---- boundaries
 
 
-@cache
+@ucd.derived
 def _status_shifts(form: Callable = ucd.quick_class) -> str:
     ok = ucd.allowed_identifier()
     return form(i for i in range(ucd.LAST + 1) if not 0xD800 <= i <= 0xDFFF and (i in ok) != (ord(ud.normalize("NFKD", chr(i))[0]) in ok))
@@ -476,7 +475,7 @@ def covert_display_compound(c: Column | str) -> Column:
     return F.when(t.rlike(BIDI), found).otherwise(verdict(t))
 
 
-@cache
+@ucd.derived
 def _confusable(form: Callable = ucd.quick_class) -> str:
     return form(map(ord, ucd.confusables()))
 
@@ -494,7 +493,7 @@ def admission_of(s: str) -> dict:
 
 
 def admissibility_form_drift(c: Column | str) -> Column:
-    return T.unless_ascii(c, T.arrow(admission_of, VERDICT), verdict(_text(c)))
+    return T.unless_ascii(c, T.arrow(admission_of, VERDICT, "identifier"), verdict(_text(c)))
 
 
 # ---- cryptographic stability
@@ -521,7 +520,7 @@ def bip39_canonical(c: Column | str, known: Column | None = None) -> Column:
     return verdict(t, *cases)
 
 
-#: What signed formats forbid, as a pattern whose match's place is the violation's.
+# What signed formats forbid, as a pattern whose match's place is the violation's.
 RFC_RULES = {
     "pgp4880TrailingWhitespace": r"[ \t\n\r]+\z",
     "pgp9580LineEnding": r"(?<!\r)\n|\r(?!\n)",

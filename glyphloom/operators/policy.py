@@ -43,6 +43,7 @@ def rejection_set(profile: str) -> list[str]:
 
 
 def reason_code(family: str, sub: Column) -> Column:
+    # fixed value: the form of a reason code
     return F.concat(F.lit(f"unicode.security.{LAYERS[family]}.{family}."), F.coalesce(sub, F.lit("hazard")))
 
 

@@ -79,17 +79,21 @@ def changed(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: nfc, nfd, nfkc, nfkd, skeleton, letter_skeleton, casefold, restriction_level, graphemes."""
+    """SQL functions: nfc, nfd, nfkc, nfkd, skeleton, letter_skeleton, casefold, restriction_level, line_count,
+    sentence_count, domain_to_ascii."""
     import unicodedata as ud
 
-    from pyspark.sql.functions import pandas_udf
+    from ..functions import idna, segment
 
-    def add(name: str, one, kind: str) -> None:
-        spark.udf.register(name, pandas_udf(lambda s: s.map(one, na_action="ignore"), kind))
+    def add(name: str, one, kind: str, *needs: str) -> None:
+        spark.udf.register(name, T.vectorised(one, kind, *needs))
 
     for form in T.FORMS:
         add(form.lower(), (lambda f: lambda s: ud.normalize(f, s))(form), "string")
-    add("skeleton", T.skeleton_of, "string")
-    add("letter_skeleton", T.letters_of, "string")
+    add("skeleton", T.skeleton_of, "string", "confusables")
+    add("letter_skeleton", T.letters_of, "string", "confusables")
     add("casefold", str.casefold, "string")
-    add("restriction_level", T.level_of, "string")
+    add("restriction_level", T.level_of, "string", "identifier")
+    add("line_count", lambda s: len(segment.line_breaks(s)), "int")
+    add("sentence_count", lambda s: len(segment.sentence_breaks(s)), "int")
+    add("domain_to_ascii", lambda s: idna.process(s)["ascii"], "string", "idna")

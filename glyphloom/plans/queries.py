@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import plans
 from ..functions import text as T
-from ..functions import bidi, precis, ucd, validate
+from ..functions import bidi, idna, precis, registry, segment, ucd, validate
 from ..operators import detectors as D
 from ..operators import policy as P
 
@@ -120,7 +120,7 @@ def character_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idna_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The different hosts of pages, and which are no valid domain names."""
     hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).distinct()
-    d = hosts.select("host", T.idna("host").alias("r"))
+    d = hosts.select("host", idna.idna("host").alias("r"))
     return d.select("host", "r.ascii", F.array_join("r.errors", ",").alias("errors"))
 
 
@@ -134,7 +134,7 @@ QUERIES |= {
     "stream_safe": _column(T.is_stream_safe, "safe"),
     "graphemes": _column(T.grapheme_count, "graphemes"),
     "words": _column(lambda t: F.size(T.words(t)), "words"),
-    "sentences": _column(lambda t: F.size(T.sentences(t)), "sentences"),
+    "sentences": _column(lambda t: F.size(segment.sentences(t)), "sentences"),
     "display_width": _column(T.display_width, "width"),
     "restriction_level": _column(T.restriction_level, "level"),
     "utf16_bytes": _column(lambda t: F.octet_length(T.encode_text(t, "UTF-16LE")).cast("long"), "bytes"),

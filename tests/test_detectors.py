@@ -98,9 +98,8 @@ def test_padded_target(tmp_path):
     assert D.homoglyph_of(double + "x" * 200)["sub_threat"] != "TargetMatch"
     (tmp_path / "confusables.txt").write_text("2E31 ;\t0301 ;\tMA\n0430 ;\t0061 ;\tMA\n")
     D.ucd.use_data_dir(str(tmp_path))
-    D._target_letters.cache_clear()
     try:
         assert D.homoglyph_of(double + "\u2e31" * 200)["sub_threat"] == "TargetMatch"
     finally:
         D.ucd.use_data_dir(None)
-        D._target_letters.cache_clear()
+    
\ No newline at end of file
