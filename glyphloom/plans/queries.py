@@ -19,7 +19,7 @@ from ..operators import policy as P
 
 #: What document k, k + 32, ... gets after its twentieth character.
 ATTACKS = [
-    "‮txt.exe", "\U000e0001\U000e0041\U000e0042", "\U000e0061\U000e0062", "​​​", "‍", "⁠", "a  ", "￹x￺",
+    "‮txt.exe", "\U000e0001\U000e0041\U000e0042", "\U000e0061\U000e0062", "​​​", "‍", "⁠", "a\u202f\u202f", "￹x￺",
     "a️", "\U0001f600️", "z\U000e0101\U000e0102\U000e0103\U000e0104", "q︀r", "⁦abc", "⁩", "‪x‬", "\x01",
     "\x85", "﷐", "\U0001f44b\U0001f3fb\U0001f3fc", "a\U0001f3fd", "⌚︎", "\U0001f468‍‍\U0001f4bb", "ａ．ｂ", "e" + "́" * 35,
     "שלום", "İ", "ß", "ﷺ", "раураl", "“a” “b” — c — d", "it is worth noting", "\u202ea\ufe00",
@@ -75,11 +75,18 @@ def all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("r.family", "r.kind", "r.sub_threat").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def names_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short names: protected ones, one in ten with a letter changed for its double, and suppliers'."""
+def protected_rows() -> list[tuple[int, str]]:
+    """Protected names, and doubles of every other one: a letter is changed for one that looks like it."""
     swap = {v: k for k, v in ucd.LOOKALIKES.items() if v.isalpha() and v.islower()}
-    rows = [(-i, n if i % 2 else "".join(swap.get(c, c) if k == 1 + i % 3 else c for k, c in enumerate(n))) for i, n in enumerate(D.TARGETS, 1)]
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name")).unionByName(spark.createDataFrame(rows, "id long, name string"))
+    rows = list(enumerate(D.TARGETS, 1))
+    doubles = [(1000 + i, "".join(swap.get(c, c) if k == 1 + i % 3 else c for k, c in enumerate(n))) for i, n in rows if i % 2 == 0]
+    return [(-i, n) for i, n in [*rows, *doubles]]
+
+
+def names_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short names: protected ones, doubles, and suppliers'."""
+    rows = spark.createDataFrame(protected_rows(), "id long, name string")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name")).unionByName(rows)
 
 
 def impostor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +131,26 @@ def idna_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("host", "r.ascii", F.array_join("r.errors", ",").alias("errors"))
 
 
+def selector_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload spelled in selectors after each text, read back."""
+    data = F.expr("CASE doc_id % 4 WHEN 0 THEN X'6576616c283129' WHEN 1 THEN X'6375726c2078' WHEN 2 THEN X'68690a' ELSE X'00ff' END")
+    nibbles = F.filter(F.split(F.hex(data), ""), lambda x: x != "")
+    spelled = F.array_join(F.transform(nibbles, lambda x: T.from_code_points(F.array(F.conv(x, 16, 10).cast("int") + 0xFE00))), "")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", registry.selector_bytes(F.concat(F.coalesce("text", F.lit("")), spelled)).alias("b"))
+    return d.select("doc_id", registry.executable_hint("b").alias("hint"), F.lower(F.hex("b")).alias("payload"))
+
+
+def registered_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One emoji, sequence or forgery for each document, and how it is registered."""
+    texts = ["\U0001f600", "\U0001f1e9\U0001f1ea", "\U0001f44b\U0001f3fb", "7\ufe0f\u20e3", "\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f", "\U0001f468\u200d\U0001f4bb", "\U0001f600\U0001f3fb", "\U0001f1e6\U0001f1e6"]
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % 8 + 1).cast("int")).alias("t"))
+    kind = F.lit("none")
+    for name, k in zip(("basic", "flag", "modifier", "tag", "keycap"), registry.KINDS, strict=True):
+        kind = F.when(registry.is_registered("t", k), name).otherwise(kind)
+    kind = F.when(registry.is_rgi_emoji("t") & (kind == "none"), "zwj").otherwise(kind)
+    return d.select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {s.replace("-", "_"): family_query(s) for s in D.FAMILIES}
 QUERIES |= {
     "normalize_nfc": _column(lambda t: F.md5(T.normalize(t, "NFC").cast("binary")), "digest"),
@@ -149,6 +176,11 @@ QUERIES |= {
     "precis_usernames": lambda spark, sf_dir: names_table(spark, sf_dir).select("id", precis.username("name")["error"].alias("error")),
     "identifiers": lambda spark, sf_dir: names_table(spark, sf_dir).select("id", validate.is_ascii_identifier("name").alias("ascii_identifier"), T.is_allowed_identifier("name").alias("allowed")),
     "idna_hosts": idna_hosts,
+    "glitch_tokens": lambda spark, sf_dir: planted(spark, sf_dir).select("doc_id", registry.contains_glitch_token(F.expr("concat(t, CASE WHEN doc_id % 5 = 0 THEN ' petertodd' ELSE 'petertodd' END)")).alias("glitch")),
+    "selector_payloads": selector_payloads,
+    "registered_emoji": registered_emoji,
+    "orientations": _column(lambda t: F.size(F.filter(registry.upright(t), lambda x: ~x)), "rotated"),
+    "line_breaks": _column(segment.line_count, "pieces"),
     "hazard_report": hazard_report,
     "all_families": all_families,
     "source_composites": source_composites,
@@ -164,10 +196,35 @@ QUERIES |= {
 
 
 # ---- SQL
-
-
-def _sql_class(cps, negate: bool = False) -> str:
-    return ucd.java_class(cps, negate)  # RE2 writes code points the same way
+#
+# The SQL says what each query must find in its own terms: character classes are written out here, from the
+# standard's files, as far as the characters of the documents and of the planted strings go. None is taken from
+# the sets that the operators build.
+
+_IGNORABLE = r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFF8}\x{E0000}-\x{E0FFF}"
+_ZERO = r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202F}\x{2060}-\x{2065}\x{206A}-\x{206F}\x{3164}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFFB}\x{E0080}-\x{E00FF}\x{E01F0}-\x{E0FFF}]"
+_TAGS, _BIDI, _WIDE = r"[\x{E0000}-\x{E007F}]", r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]", r"[\x{FF01}-\x{FFEF}]"
+_VS, _BYTE_VS = r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{180B}-\x{180D}]", r"\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+_NONCHARACTERS = r"[\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]"
+_C0, _C1 = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}]", r"[\x{80}-\x{9F}]"
+_EXTEND = r"[\p{Mn}\p{Me}\x{200C}\x{FF9E}\x{FF9F}\x{1F3FB}-\x{1F3FF}\x{E0020}-\x{E007F}]"
+_NONSTARTER = r"[\x{300}-\x{34E}\x{350}-\x{36F}]"
+_RTL, _LTR = r"[\p{Hebrew}\p{Arabic}]", r"[\p{Latin}\p{Cyrillic}]"
+_UPPER_EXPANDS, _LOWER_EXPANDS = r"[\x{DF}\x{149}\x{1F0}\x{390}\x{3B0}\x{587}\x{1E96}-\x{1E9A}\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}]", r"\x{130}"
+_FULLWIDTH, _HALFWIDTH = r"[\x{3000}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}]", r"[\x{FF61}-\x{FFDC}\x{FFE8}-\x{FFEE}]"
+_COMPAT = r"[\x{A0}\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{BC}-\x{BE}\x{2026}\x{202F}\x{FDFA}\x{FF01}-\x{FFEE}]"
+_SHIFTS = r"[\x{AA}\x{B2}\x{B3}\x{B9}\x{BA}\x{BC}-\x{BE}\x{FDFA}\x{FF07}\x{FF0D}\x{FF0E}\x{FF10}-\x{FF1A}\x{FF21}-\x{FF3A}\x{FF3F}\x{FF41}-\x{FF5A}]"
+_CONFUSABLE = r"[\x22%01I`m|\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}\x{202F}\x{FDFA}\x{FF01}-\x{FF5E}\x{430}\x{435}\x{440}\x{443}]"
+_EMOJI, _SHOWN = r"[#*0-9\x{231A}\x{231B}\x{1F300}-\x{1F64F}]", r"[\x{231A}\x{231B}\x{23E9}-\x{23EC}\x{1F600}-\x{1F64F}]"
+_TONES, _TONE_BASE = r"[\x{1F3FB}-\x{1F3FF}]", r"\x{261D}\x{26F9}\x{270A}-\x{270D}\x{1F442}\x{1F443}\x{1F446}-\x{1F450}\x{1F466}-\x{1F478}"
+_ZWJ_PARTS = r"\x{2640}\x{2642}\x{2695}\x{2764}\x{FE0F}\x{1F3FB}-\x{1F3FF}\x{1F468}\x{1F469}\x{1F4BB}\x{1F9D1}"
+_ACCENTED = r"[\x{C0}-\x{C5}\x{C7}-\x{CF}\x{D1}-\x{D6}\x{D9}-\x{DD}\x{E0}-\x{E5}\x{E7}-\x{EF}\x{F1}-\x{F6}\x{F9}-\x{FD}\x{FF}\x{130}]"
+_NOT_ALLOWED = r"[^A-Za-z0-9_'\-.:\x{B7}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{131}\x{300}-\x{304}\x{430}-\x{45F}\x{5D0}-\x{5EA}]".replace("'", "''")
+_ZWJ = "‍"
+
+
+def _d(select: str) -> str:
+    return f"WITH d AS (SELECT doc_id, source, {PLANTED} AS t FROM documents) SELECT {select} FROM d"
 
 
 def _cases(cases: list[tuple[str, str, str]], body: str = "") -> str:
@@ -180,8 +237,8 @@ def _first(k: str, t: str = "t") -> str:
     return f"length(regexp_replace({t}, '(?s)(?:{k}).*', ''))"
 
 
-def _every(k: str) -> str:
-    return f"array_to_string(list_filter(list_transform(regexp_extract_all(t, '(?s).'), lambda c, i: CASE WHEN regexp_matches(c, '{k}') THEN i - 1 END), lambda x: x IS NOT NULL), ',')"
+def _every(k: str, t: str = "t") -> str:
+    return f"array_to_string(list_filter(list_transform(regexp_extract_all({t}, '(?s).'), lambda c, i: CASE WHEN regexp_matches(c, '{k}') THEN i - 1 END), lambda x: x IS NOT NULL), ',')"
 
 
 def _has(k: str, t: str = "t") -> str:
@@ -192,99 +249,197 @@ def _at(k: str) -> str:
     return f"{_first(k)}::VARCHAR"
 
 
-def sql() -> dict[str, str]:
-    tag, bidi, wide = D.TAGS, D.BIDI, D.WIDE
-    any_control = f"{D.NONCHARACTERS}|{D.C0}|{D.C1}"
+def _count(k: str, t: str = "t") -> str:
+    return f"length(regexp_replace({t}, '[^{k}]', '', 'g'))"
+
+
+def _family_sql() -> dict[str, str]:
+    any_control = f"{_NONCHARACTERS}|{_C0}|{_C1}"
     one = f"regexp_extract(t, '{any_control}')"
-    extend, nonstarter = (_sql_class(x) for x in (ucd.members("GCB=Extend"), [i for i in range(ucd.LAST + 1) if D.ud.combining(chr(i))]))
-    tags = f"regexp_replace(t, '[^{tag[1:]}+', '', 'g')"
+    tags = f"regexp_replace(t, '[^{_TAGS[1:]}+', '', 'g')"
     ext = ", e AS (SELECT doc_id, t, CASE WHEN contains(t, '.') THEN string_split(t, '.')[-1] ELSE '' END AS x FROM d)"
     after = lambda k: f"(length(t) - length(x) + {_first(k, 'x')})::VARCHAR"
     simple = lambda *pairs: _cases([(_has(k), f"'{s}'", _at(k)) for k, s in pairs])
+    never = _cases([("false", "''", "''")])
     out = {
         "tag_block_payload": _cases([
-            (f"NOT {_has(tag)}", "NULL", "''"), (f"starts_with({tags}, '\U000e0001') AND length({tags}) > 1", "'LanguageTagRevival'", _every(tag)),
-            (f"length({tags}) = length(t) AND {_has('[\\x{E0020}-\\x{E007E}]')}", "'DirectAscii'", _every(tag)), (f"length({tags}) < length(t)", "'MixedBlock'", _every(tag)), ("true", "'BareTagPresent'", _every(tag)),
+            (f"NOT {_has(_TAGS)}", "NULL", "''"), (f"starts_with({tags}, '\U000e0001') AND length({tags}) > 1", "'LanguageTagRevival'", _every(_TAGS)),
+            (f"length({tags}) = length(t) AND {_has('[\\x{E0020}-\\x{E007E}]')}", "'DirectAscii'", _every(_TAGS)), (f"length({tags}) < length(t)", "'MixedBlock'", _every(_TAGS)), ("true", "'BareTagPresent'", _every(_TAGS)),
         ]),
-        "noncharacter_control": _cases([(f"NOT {_has(any_control)}", "NULL", "''"), (_has(D.C0, one), "'C0Control'", _at(any_control)), (_has(D.C1, one), "'C1Control'", _at(any_control)), ("true", "'Noncharacter'", _at(any_control))]),
+        "noncharacter_control": _cases([(f"NOT {_has(any_control)}", "NULL", "''"), (_has(_C0, one), "'C0Control'", _at(any_control)), (_has(_C1, one), "'C1Control'", _at(any_control)), ("true", "'Noncharacter'", _at(any_control))]),
         "filename_disguise": _cases([
-            (_has(bidi), "'RloFlip'", _at(bidi)), (_has(wide, "x"), "'WidthClassExt'", after(wide)), (_has(extend, "x"), "'CombiningInExt'", after(extend)),
+            (_has(_BIDI), "'RloFlip'", _at(_BIDI)), (_has(_WIDE, "x"), "'WidthClassExt'", after(_WIDE)), (_has(_EXTEND, "x"), "'CombiningInExt'", after(_EXTEND)),
             ("length(t) - length(replace(t, '.', '')) >= 3", "'MultipleExtensions'", _every("[.]")),
         ], ext),
-        "stream_safe_violation": simple((f"{nonstarter}{{31,}}", "StreamSafeOverrun")),
-        "case_expansion_mismatch": simple((D._expanding(True, ucd.java_class), "UpperExpansion"), (D._expanding(False, ucd.java_class), "LowerExpansion")),
-        "width_class_confusion": simple((D._width_folds("F", ucd.java_class), "FullwidthFold"), (D._width_folds("H", ucd.java_class), "HalfwidthFold")),
-        "identifier_form_drift": simple((D._status_shifts(ucd.java_class), "IdentifierStatusShift")),
+        "stream_safe_violation": simple((f"{_NONSTARTER}{{31,}}", "StreamSafeOverrun")),
+        "case_expansion_mismatch": simple((_UPPER_EXPANDS, "UpperExpansion"), (_LOWER_EXPANDS, "LowerExpansion")),
+        "width_class_confusion": simple((_FULLWIDTH, "FullwidthFold"), (_HALFWIDTH, "HalfwidthFold")),
+        "identifier_form_drift": simple((_SHIFTS, "IdentifierStatusShift")),
         "confusable_bidi_compound": _cases([
-            (f"NOT {_has(bidi)} OR NOT {_has(D._confusable(ucd.java_class))}", "NULL", "''"),
-            (_has("[\\x{202A}-\\x{202E}]"), "'ConfusableInOverride'", f"concat({_first(D._confusable(ucd.java_class))}, ',', {_first('[\\x{202A}-\\x{202E}]')})"),
-            ("true", "'ConfusableInIsolate'", f"concat({_first(D._confusable(ucd.java_class))}, ',', {_first('[\\x{2066}-\\x{2069}]')})"),
+            (f"NOT {_has(_BIDI)} OR NOT {_has(_CONFUSABLE)}", "NULL", "''"),
+            (_has("[\\x{202A}-\\x{202E}]"), "'ConfusableInOverride'", f"concat({_first(_CONFUSABLE)}, ',', {_first('[\\x{202A}-\\x{202E}]')})"),
+            ("true", "'ConfusableInIsolate'", f"concat({_first(_CONFUSABLE)}, ',', {_first('[\\x{2066}-\\x{2069}]')})"),
+        ]),
+        "normalization_bomb": simple((r"\x{FDFA}", "SingleCpBlowup")),
+        "locale_case_inversion": simple(("[I\\x{130}]", "TurkishCaseDivergence"), ("[JI\\x{12E}]\\x{301}|[\\x{CC}\\x{CD}\\x{128}]", "LithuanianCaseDivergence")),
+        # words and spaces together are no identifiers, in either form; single words stay what they are
+        "admissibility_form_drift": never,
+        "bip39_canonical": _cases([
+            (_has("[ \\x{3000}]$"), "'TrailingWhitespace'", _at("[ \\x{3000}]+$")), (_has("[A-Z]"), "'MixedCase'", _at("[A-Z]")), (_has("^[ \\x{3000}]|[ \\x{3000}]{2}"), "'WhitespaceAnomaly'", _at("^[ \\x{3000}]|[ \\x{3000}]{2}")),
+            (_has(f"{_ACCENTED}|{_COMPAT}"), "'NonNFKD'", _at(f"{_ACCENTED}|{_COMPAT}")),
         ]),
-        "normalize_nfc": f"SELECT doc_id, md5(nfc_normalize({PLANTED})) AS digest FROM documents",
-        "is_nfc": f"SELECT doc_id, nfc_normalize({PLANTED}) = {PLANTED} AS nfc FROM documents",
-        "graphemes": f"SELECT doc_id, length_grapheme({PLANTED})::INTEGER AS graphemes FROM documents",
-        "utf16_bytes": f"WITH d AS (SELECT doc_id, {PLANTED} AS t FROM documents) SELECT doc_id, (2 * (length(t) + length(regexp_replace(t, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))))::BIGINT AS bytes FROM d",
-        "utf32_bytes": f"SELECT doc_id, (4 * length({PLANTED}))::BIGINT AS bytes FROM documents",
-        "forbidden_controls": f"WITH d AS (SELECT doc_id, {PLANTED} AS t FROM documents) SELECT doc_id, CASE WHEN {_has(validate.CONTROL)} THEN strlen(regexp_replace(t, '(?s){validate.CONTROL}.*', ''))::INTEGER END AS offset FROM d",
-        "first_forbidden": f"WITH d AS (SELECT doc_id, regexp_extract({PLANTED}, '{ucd.java_class(ucd.default_ignorable() | {0xFEFF, 0x180E, 0xFFF9, 0xFFFA, 0xFFFB})}') AS c FROM documents) SELECT doc_id, CASE WHEN c = '' THEN NULL "
-        + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{k}'" for k, p in validate.FORBIDDEN.items()) + " ELSE 'defaultIgnorable' END AS forbidden FROM d",
-        "code_points": f"SELECT unicode(c) AS cp, count(*) AS n FROM (SELECT unnest(regexp_extract_all({PLANTED}, '(?s).')) AS c FROM documents) GROUP BY ALL",
-        "decoded_tags": f"WITH d AS (SELECT doc_id, {PLANTED} AS t FROM documents) SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[\\x{{E0020}}-\\x{{E007E}}]'), lambda c: chr((unicode(c) - 917504)::INTEGER)), '') AS ascii FROM d",
     }
-    rtl, ltr = (ucd.java_class(ucd.with_bidi(*k)) for k in (("R", "AL"), ("L",)))
-    longest = f"list_max(list_transform(regexp_extract_all(t, '{rtl}{{4,}}'), lambda x: length(x)))"
+    longest = f"list_max(list_transform(regexp_extract_all(t, '{_RTL}{{4,}}'), lambda x: length(x)))"
     out["rtl_injection"] = _cases([
-        (_has(bidi), "'RloInLTRField'", _at(bidi)), (f"{_has(rtl)} AND (NOT {_has(ltr)} OR {_first(rtl)} < {_first(ltr)})", "'FieldTakeover'", _at(rtl)),
-        (_has(rtl + "{4,}"), "'MixedOverflow'", f"(strpos(t, list_filter(regexp_extract_all(t, '{rtl}{{4,}}'), lambda x: length(x) = {longest})[1])::BIGINT - 1)::VARCHAR"), (_has(rtl), "'StrongRTLInLTR'", _at(rtl)),
+        (_has(_BIDI), "'RloInLTRField'", _at(_BIDI)), (f"{_has(_RTL)} AND (NOT {_has(_LTR)} OR {_first(_RTL)} < {_first(_LTR)})", "'FieldTakeover'", _at(_RTL)),
+        (_has(_RTL + "{4,}"), "'MixedOverflow'", f"(strpos(t, list_filter(regexp_extract_all(t, '{_RTL}{{4,}}'), lambda x: length(x) = {longest})[1])::BIGINT - 1)::VARCHAR"), (_has(_RTL), "'StrongRTLInLTR'", _at(_RTL)),
     ])
     tail = "[ \\t\\n\\r]+$"
-    body = ", n AS (SELECT doc_id, t, nfc_normalize(t) AS c FROM d), e AS (SELECT doc_id, t, c, CASE WHEN t <> c THEN coalesce(list_position(list_transform(range(1, least(length(t), length(c)) + 1), lambda i: substr(t, i, 1) = substr(c, i, 1)), false) - 1, least(length(t), length(c))) END AS p FROM n)"
-    out["hash_input_stability"] = _cases([(_has(tail), "'TrailingWhitespace'", f"{_first(tail)}::VARCHAR"), ("p IS NOT NULL", "'NormalizationDrift'", "p::VARCHAR")], body)
-    letters, zero = ucd.java_class(ucd.zwj_alphabet()), D._zero_width(ucd.java_class)
-    for_emoji = f"regexp_replace(t, '({letters})\u200d({letters})', '\\1x\\2', 'g')"
-    count = lambda k: f"length(regexp_replace(t, '[^{k}]', '', 'g'))"
+    drift = ", n AS (SELECT doc_id, t, nfc_normalize(t) AS c FROM d), e AS (SELECT doc_id, t, c, CASE WHEN t <> c THEN coalesce(list_position(list_transform(range(1, least(length(t), length(c)) + 1), lambda i: substr(t, i, 1) = substr(c, i, 1)), false) - 1, least(length(t), length(c))) END AS p FROM n)"
+    out["hash_input_stability"] = _cases([(_has(tail), "'TrailingWhitespace'", f"{_first(tail)}::VARCHAR"), ("p IS NOT NULL", "'NormalizationDrift'", "p::VARCHAR")], drift)
+    out["nfc_idempotence_witness"] = _cases([("p IS NOT NULL", "'NonNfcForm'", "p::VARCHAR"), (_has(_COMPAT), "'NonNfkcCompatForm'", _at(_COMPAT))], drift)
+    out["homoglyph_confusable"] = _cases([
+        (_has("[\\x{FF01}-\\x{FFEF}]"), "'WidthClass'", _at("[\\x{FF01}-\\x{FFEF}]")), ("p IS NOT NULL", "'DecompositionSwap'", "p::VARCHAR"),
+        (f"{_has('\\p{Latin}')} AND {_has('[\\p{Hebrew}\\p{Arabic}\\p{Cyrillic}]')}", "'CrossScriptMix'", "''"), (_has("\\x{FDD0}"), "'RestrictionLow'", "''"),
+    ], drift)
+    out["mixed_script_admissibility"] = _cases([
+        (_has(_NOT_ALLOWED), "'RestrictedStatusCp'", _every(_NOT_ALLOWED)), (_has("\\p{Cyrillic}"), "'LatinCyrillic'", _every("\\p{Cyrillic}")), (_has("\\p{Hebrew}"), "'ScriptMixOther'", "''"),
+    ])
+    # text whose characters all fit a byte, read as bytes: the first beyond ASCII decides
+    p = "strlen(regexp_replace(t, '(?s)[^\\x{00}-\\x{7F}].*', ''))"
+    c, after_c = f"substr(t, {p} + 1, 1)", f"substr(t, {p} + 2, 1)"
+    out["surrogate_reassembly"] = _cases([
+        ("NOT regexp_full_match(t, '(?s)[\\x{00}-\\x{FF}]*') OR regexp_full_match(t, '(?s)[\\x{00}-\\x{7F}]*')", "NULL", "''"), (_has("[\\x{80}-\\x{C1}\\x{F5}-\\x{FF}]", c), "'InvalidStartByte'", f"{p}::VARCHAR"),
+        (f"{after_c} = ''", "'Truncated'", "length(t)::VARCHAR"), (f"NOT {_has('[\\x{80}-\\x{BF}]', after_c)}", "'InvalidContinuation'", f"({p} + 1)::VARCHAR"), ("true", "'not foreseen'", "''"),
+    ])
+    for_emoji = f"regexp_replace(t, '([{_ZWJ_PARTS}]){_ZWJ}([{_ZWJ_PARTS}])', '\\1x\\2', 'g')"
     rest = f", e AS (SELECT doc_id, {for_emoji.replace('(t,', '(' + for_emoji + ',')} AS t, t AS u FROM d)"
-    of = lambda k: count(k).replace("(t,", "(u,")
+    of = lambda k: _count(k, "u")
     out["zero_width_payload"] = _cases([
-        (f"NOT {_has(zero)}", "NULL", "''"), (f"{of(chr(0xFFF9))} <> {of(chr(0xFFFA))} OR {of(chr(0xFFFA))} <> {of(chr(0xFFFB))}", "'AnnotationMisuse'", _every(zero)), (f"contains(u, '{chr(0x2060)}')", "'WordJoinerInjection'", _every(zero)),
-        (f"{of(chr(0x202F))} >= 2", "'AIWatermarkNNBSP'", _every(zero)), (f"{of(chr(0x200B) + chr(0x200D))} >= 2", "'BinaryPayload'", _every(zero)), ("true", "'BareZeroWidth'", _every(zero)),
+        (f"NOT {_has(_ZERO)}", "NULL", "''"), (f"{of(chr(0xFFF9))} <> {of(chr(0xFFFA))} OR {of(chr(0xFFFA))} <> {of(chr(0xFFFB))}", "'AnnotationMisuse'", _every(_ZERO)), (f"contains(u, '{chr(0x2060)}')", "'WordJoinerInjection'", _every(_ZERO)),
+        (f"{of(chr(0x202F))} >= 2", "'AIWatermarkNNBSP'", _every(_ZERO)), (f"{of(chr(0x200B) + _ZWJ)} >= 2", "'BinaryPayload'", _every(_ZERO)), ("true", "'BareZeroWidth'", _every(_ZERO)),
     ], rest)
     walk = (
         "list_reduce(list_filter(list_transform(regexp_extract_all(t, '(?s).'), lambda c, i: {'c': unicode(c), 'i': i - 1, 'e': 0, 's': 0, 'm': 0, 'o': ''}), lambda x: x.c BETWEEN 8234 AND 8238 OR x.c BETWEEN 8294 AND 8297), "
         "lambda a, x: {'c': 0, 'i': 0::BIGINT, 'e': a.e + CASE WHEN x.c IN (8234, 8235, 8237, 8238) THEN 1 WHEN x.c = 8236 AND a.e > 0 THEN -1 ELSE 0 END, 's': a.s + CASE WHEN x.c IN (8294, 8295, 8296) THEN 1 WHEN x.c = 8297 AND a.s > 0 THEN -1 ELSE 0 END, "
         "'m': 0, 'o': a.o || CASE WHEN (x.c = 8236 AND a.e = 0) OR (x.c = 8297 AND a.s = 0) THEN ',' || x.i ELSE '' END}, {'c': 0, 'i': 0::BIGINT, 'e': 0, 's': 0, 'm': 0, 'o': ''})"
     )
-    out["bidi_control_balance"] = _cases([("w.o <> ''", "'OrphanPop'", "substr(w.o, 2)"), ("w.e > 0", "'UnbalancedEmbedding'", _every(bidi)), ("w.s > 0", "'UnbalancedIsolate'", _every(bidi))], f", e AS (SELECT doc_id, t, {walk} AS w FROM d)")
-    tones, zwj = D.TONES, "\u200d"
-    registered = "t IN (" + ", ".join(f"'{x}'" for x in sorted(ucd.zwj_sequences())) + ")"
-    not_mark = ucd.java_class(ucd.members("GCB=Extend"), negate=True)
+    out["bidi_control_balance"] = _cases([("w.o <> ''", "'OrphanPop'", "substr(w.o, 2)"), ("w.e > 0", "'UnbalancedEmbedding'", _every(_BIDI)), ("w.s > 0", "'UnbalancedIsolate'", _every(_BIDI))], f", e AS (SELECT doc_id, t, {walk} AS w FROM d)")
+    stack = f"[^{_EXTEND[1:]}{_EXTEND}{{4}}"
     out["renderer_divergence"] = _cases([
-        (_has(f"{not_mark}{extend}{{4}}"), "'CombiningStackOverflow'", _at(f"{not_mark}{extend}{{4}}")), (_has(D.VS), "'VariationSelectorVariance'", _at(D.VS)),
-        (f"contains(t, '{zwj}') AND NOT {registered}", "'UnregisteredZwjVariance'", _at(zwj)), (_has(wide), "'FullwidthVariance'", _at(wide)), (f"{_has(rtl)} AND {_has(ltr)}", "'MixedDirectionVariance'", "''"),
+        (_has(stack), "'CombiningStackOverflow'", _at(stack)), (_has(_VS), "'VariationSelectorVariance'", _at(_VS)),
+        (f"contains(t, '{_ZWJ}')", "'UnregisteredZwjVariance'", _at(_ZWJ)), (_has(_WIDE), "'FullwidthVariance'", _at(_WIDE)), (f"{_has(_RTL)} AND {_has(_LTR)}", "'MixedDirectionVariance'", "''"),
     ])
-    stacked, wrong = f".{tones}{{2}}", f"{ucd.java_class(ucd.members('Emoji_Modifier_Base'), negate=True)}{tones}"
-    forced = f"{ucd.java_class(ucd.members('Emoji_Presentation'))}\\x{{FE0E}}"
+    stacked, wrong, forced = f".{_TONES}{{2}}", f"[^{_TONE_BASE}]{_TONES}", f"{_SHOWN}\\x{{FE0E}}"
     out["skin_tone_variation_forgery"] = _cases([
         (_has("(?s)" + stacked), "'StackedSkinTones'", f"concat({_first(stacked)} + 1, ',', {_first(stacked)} + 2)"), (_has(wrong), "'InvalidSkinToneTarget'", f"({_first(wrong)} + 1)::VARCHAR"), (_has(forced), "'ForcedTextStyle'", f"({_first(forced)} + 1)::VARCHAR"),
     ])
-    other = ucd.java_class(ucd.zwj_alphabet(), negate=True)
-    alien, n_tones = f"{other}{zwj}.|.{zwj}{other}", f"length(regexp_replace(t, '[^{tones[1:]}', '', 'g'))"
-    doubled = f"array_to_string(list_filter(list_transform(range(1, length(t)), lambda i: CASE WHEN substr(t, i, 2) = '{zwj}{zwj}' THEN i - 1 END), lambda x: x IS NOT NULL), ',')"
+    alien, n_tones = f"[^{_ZWJ_PARTS}]{_ZWJ}.|.{_ZWJ}[^{_ZWJ_PARTS}]", _count(_TONES[1:-1])
+    doubled = f"array_to_string(list_filter(list_transform(range(1, length(t)), lambda i: CASE WHEN substr(t, i, 2) = '{_ZWJ}{_ZWJ}' THEN i - 1 END), lambda x: x IS NOT NULL), ',')"
     out["emoji_zwj_integrity"] = _cases([
-        (f"(NOT contains(t, '{zwj}') AND {n_tones} <= 1) OR {registered}", "NULL", "''"), (f"contains(t, '{zwj}{zwj}')", "'DoubleZWJ'", doubled), (_has(f"(?s){alien}"), "'NonEmojiInjection'", f"({_first(alien)} + 1)::VARCHAR"),
-        ("length(t) > 16", "'OverLength'", "''"), (f"{n_tones} >= 5", "'SkinToneOverflow'", "''"), (f"contains(t, '{zwj}')", "'UnregisteredSequence'", _every(zwj)),
+        (f"NOT contains(t, '{_ZWJ}') AND {n_tones} <= 1", "NULL", "''"), (f"contains(t, '{_ZWJ}{_ZWJ}')", "'DoubleZWJ'", doubled), (_has(f"(?s){alien}"), "'NonEmojiInjection'", f"({_first(alien)} + 1)::VARCHAR"),
+        ("length(t) > 16", "'OverLength'", "''"), (f"{n_tones} >= 5", "'SkinToneOverflow'", "''"), (f"contains(t, '{_ZWJ}')", "'UnregisteredSequence'", _every(_ZWJ)),
     ])
-    pairs = [(ucd.java_class(ucd.members("Emoji")), "[\\x{FE0E}\\x{FE0F}]"), *[(ucd.java_class(b), f"\\x{{{vs:X}}}") for vs, b in sorted(ucd.standardized_pairs().items())]]
-    plain, known = "t", "|".join(b + vs for b, vs in pairs)
-    for b, vs in pairs:
-        plain = f"regexp_replace({plain}, '({b}){vs}', '\\1x', 'g')"
-    rest = f", e AS (SELECT doc_id, {plain} AS t, t AS u FROM d)"
-    some = f"regexp_extract_all(t, '{D.VS}')"
+    known = f"{_EMOJI}[\\x{{FE0E}}\\x{{FE0F}}]|0\\x{{FE00}}"
+    rest = f", e AS (SELECT doc_id, regexp_replace(t, '{known}', 'xx', 'g') AS t, t AS u FROM d)"
+    some = f"regexp_extract_all(t, '{_VS}')"
     out["variation_selector_payload"] = _cases([
-        (f"NOT {_has(D.VS)}", "NULL", "''"), (f"{_has(known, 'u')} AND {_first(known, 'u')} + 1 < {_first(D.VS)}", "'EmbeddedAfterRegistered'", _every(D.VS)),
-        (f"len({some}) >= 4 AND len(list_distinct({some})) = 1", "'RepeatedBase'", _every(D.VS)), ("length(regexp_replace(t, '[^\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]', '', 'g')) >= 2", "'DirectPayload'", _every(D.VS)), ("true", "'IllegalTarget'", _every(D.VS)),
+        (f"NOT {_has(_VS)}", "NULL", "''"), (f"{_has(known, 'u')} AND {_first(known, 'u')} + 1 < {_first(_VS)}", "'EmbeddedAfterRegistered'", _every(_VS)),
+        (f"len({some}) >= 4 AND len(list_distinct({some})) = 1", "'RepeatedBase'", _every(_VS)), (f"{_count(_BYTE_VS)} >= 2", "'DirectPayload'", _every(_VS)), ("true", "'IllegalTarget'", _every(_VS)),
     ], rest)
     out["covert_display_compound"] = _cases([
-        (f"NOT {_has(bidi)}", "NULL", "''"), (_has(D.VS), "'BidiPlusUnregisteredVs'", f"concat({_first(bidi)}, ',', {_first(D.VS)})"), (_has(tag), "'BidiPlusTagBlock'", f"concat({_first(bidi)}, ',', {_first(tag)})"),
+        (f"NOT {_has(_BIDI)}", "NULL", "''"), (_has(_VS), "'BidiPlusUnregisteredVs'", f"concat({_first(_BIDI)}, ',', {_first(_VS)})"), (_has(_TAGS), "'BidiPlusTagBlock'", f"concat({_first(_BIDI)}, ',', {_first(_TAGS)})"),
     ], rest)
+    parts = {"TagBlock": "tag_block_payload", "VariationSelector": "variation_selector_payload", "ZeroWidth": "zero_width_payload", "BidiControl": "bidi_control_balance", "IdentifierHomoglyph": "homoglyph_confusable"}
+    fired = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS part FROM ({out[v]}) WHERE sub_threat IS NOT NULL" for k, v in parts.items())
+    out["source_display_divergence"] = f"WITH f AS ({fired}), g AS (SELECT doc_id, count(*) AS n, min(part) AS part FROM f GROUP BY doc_id) SELECT doc_id, CASE WHEN n > 1 THEN 'Compound' ELSE part END AS sub_threat, '' AS positions FROM documents LEFT JOIN g USING (doc_id)"
+    # watermarks: carriers by kind, then visible habits
+    lone_vs, lone_zwj = f"(^|[^{_EMOJI[1:]})[{_BYTE_VS}]([^{_EMOJI[1:]}|$)", f"(^|[^{_EMOJI[1:]}){_ZWJ}([^{_EMOJI[1:]}|$)"
+    others = f"[{_IGNORABLE}]".replace("\\x{200B}-\\x{200F}", "\\x{200B}\\x{200C}\\x{200E}\\x{200F}").replace("\\x{FE00}-\\x{FE0F}", "").replace("\\x{E0000}-\\x{E0FFF}", "\\x{E0000}-\\x{E00FF}\\x{E01F0}-\\x{E0FFF}")
+    kinds = f"contains(t, ' ')::INT + {_has(lone_vs)}::INT + {_has(lone_zwj)}::INT + {_has(others)}::INT"
+    words = "[" + ", ".join(f"'{w}'" for w in D.FAVOURED) + "]"
+    hit = f"list_filter({words}, lambda w: contains(t, w))"
+    spaced = lambda x: f"{_count(x)} >= 3 AND contains(t, '{x * 3}')"  # noqa: E731  planted side by side, so evenly
+    out["ai_watermark_detectability"] = _cases([
+        (spaced(" "), "'Adversarial'", _every(" ")), (spaced("​"), "'Gpt5ZwspModulo'", _every("​")), (f"{kinds} >= 2", "'Unknown'", _every(f"[{_IGNORABLE} ]")), ("contains(t, ' ')", "'NnbspBoundary'", _every(" ")),
+        (_has(lone_vs), "'VariationSelectorCarrier'", _every(f"[{_BYTE_VS}]")), (_has(lone_zwj), "'ZwjNonEmoji'", _every(_ZWJ)),
+        (f"{_count('‘’“”')} >= 2 AND NOT regexp_matches(t, '[\"'']')", "'SmartQuoteAlternation'", _every("[‘’“”]")), (f"{_count('—')} >= 2 AND NOT contains(t, '-')", "'EmDashPattern'", _every("—")),
+        (f"len({hit}) > 0", "'StatisticalTokenChoice'", f"(strpos(t, {hit}[1]) - 1)::VARCHAR"), (_has(others), "'DefaultIgnorableCarrier'", _every(others)),
+    ])
     return out
+
+
+def _report_sql(families: dict[str, str]) -> dict[str, str]:
+    """Reports over several families, from the families' SQL."""
+    code = lambda s: f"'unicode.security.{D.LAYERS[s]}.{s}.' || sub_threat"
+    every = " UNION ALL ".join(f"SELECT '{s}' AS family, CASE WHEN sub_threat IS NULL THEN 'clear' ELSE 'hazard' END AS kind, sub_threat FROM ({families[s.replace('-', '_')]})" for s in D.FAMILIES)
+    found = " UNION ALL ".join(f"SELECT doc_id, '{D.LAYERS[s]}' AS layer, '{s}' AS family, sub_threat, {code(s)} AS code FROM ({families[s.replace('-', '_')]}) WHERE sub_threat IS NOT NULL" for s in P.DEFAULT_SCAN)
+    blocking = "('bidi-control-balance', 'stream-safe-violation', 'noncharacter-control')"  # of the default scan, what the chat profile rejects
+    act = f"coalesce((SELECT DISTINCT 'quarantine' FROM f WHERE f.doc_id = documents.doc_id AND family IN {blocking}), 'allow')"
+    minimal = " UNION ALL ".join(f"SELECT doc_id FROM ({families[k]}) WHERE sub_threat IS NOT NULL" for k in ("surrogate_reassembly", "bidi_control_balance", "stream_safe_violation"))
+    return {
+        "all_families": f"SELECT family, kind, sub_threat, count(*) AS documents FROM ({every}) GROUP BY ALL",
+        "hazard_report": f"WITH f AS ({found}), a AS (SELECT doc_id, {act} AS action FROM documents) SELECT action, coalesce(code, 'none') AS code, count(*) AS documents FROM a LEFT JOIN f USING (doc_id) GROUP BY ALL",
+        "admissible_minimal": f"SELECT doc_id FROM documents WHERE doc_id NOT IN ({minimal})",
+        "scan_metrics": f"WITH f AS ({found}) SELECT 'action' AS metric, CASE WHEN doc_id IN (SELECT doc_id FROM f) THEN 'reject' ELSE 'allow' END AS name, count(*) AS count FROM documents GROUP BY ALL UNION ALL SELECT 'code', code, count(*) FROM f GROUP BY ALL",
+        "hazard_rollup": f"SELECT layer, family, sub_threat, count(*) AS count FROM ({found}) GROUP BY ROLLUP (layer, family, sub_threat)",
+        "source_composites": f"WITH f AS ({found}), a AS (SELECT doc_id, source, {act} AS action FROM documents), r AS (SELECT source, code, count(*) AS n FROM a JOIN f USING (doc_id) GROUP BY ALL), "
+        "j AS (SELECT source, '[' || string_agg('{\"code\":\"' || code || '\",\"n\":' || n || '}', ',' ORDER BY code) || ']' AS reasons FROM r GROUP BY source) "
+        "SELECT a.source, CASE WHEN any_value(reasons) IS NULL THEN 0 ELSE 2 END::INTEGER AS severity, max(action) AS action, coalesce(any_value(reasons), '[]') AS reasons FROM a LEFT JOIN j ON a.source IS NOT DISTINCT FROM j.source GROUP BY a.source",
+    }
+
+
+def _name_sql() -> dict[str, str]:
+    """Queries over short names; doubles are known by their numbers."""
+    rows = ", ".join(f"({i}, '{n}')" for i, n in protected_rows())
+    names = f"WITH v(id, name) AS (VALUES {rows}), names AS (SELECT id::BIGINT AS id, name FROM v UNION ALL SELECT s_suppkey::BIGINT, s_name FROM supplier)"
+    letter = "A-Za-z0-9_\\x{430}-\\x{45F}\\x{4CF}\\x{51B}\\x{51D}\\x{4BB}\\x{3B1}-\\x{3C9}\\x{570}\\x{578}\\x{57D}\\x{585}"
+    errors = " || ".join(
+        f"CASE WHEN {c} THEN '{n},' ELSE '' END"
+        for n, c in [("domain-length", "length(h) NOT BETWEEN 1 AND 253"), ("empty", "h = ''"), ("empty-label", "regexp_matches(h, '^[.]|[.][.]')"), ("hyphen-edge", "regexp_matches(h, '(^|[.])-|-([.]|$)')"), ("label-length", "regexp_matches('.' || h || '.', '[.][.]|[^.]{64}')"), ("std3", "regexp_matches(h, '[^a-z0-9.-]')")]
+    )
+    return {
+        "impostor_names": f"{names} SELECT d.id, d.name AS t, o.name AS impersonates FROM names d JOIN names o ON d.id = o.id - 1000 WHERE d.id < -1000 AND d.name <> o.name UNION ALL SELECT o.id, o.name, o.name FROM names o WHERE false",
+        "confusable_groups": f"{names}, g AS (SELECT d.id AS representative, d.name AS a, o.id AS other, o.name AS b FROM names d JOIN names o ON d.id = o.id - 1000 WHERE d.id < -1000 AND d.name <> o.name) SELECT representative AS id, a AS name, representative, 2::BIGINT AS texts FROM g UNION ALL SELECT other, b, representative, 2 FROM g",
+        "identifiers": f"{names} SELECT id, regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') AS ascii_identifier, regexp_full_match(name, '[{letter}]*') AND NOT regexp_matches(name, '^[0-9]') AS allowed FROM names",
+        "precis_usernames": f"{names} SELECT id, CASE WHEN contains(name, ' ') THEN 'disallowed U+0020' END AS error FROM names",
+        "idna_hosts": f"WITH t AS (SELECT DISTINCT coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS host FROM pages), u AS (SELECT host, lower(host) AS h FROM t) SELECT host, h AS ascii, rtrim({errors}, ',') AS errors FROM u",
+        "mnemonics": "SELECT p_partkey, len(string_split(p_brand, ' '))::INTEGER AS words, 'clear' AS kind, NULL AS sub_threat FROM part",
+    }
+
+
+def sql() -> dict[str, str]:
+    families = _family_sql()
+    level = (
+        f"CASE WHEN NOT {_has('[^\\x{00}-\\x{7F}]')} THEN 'ASCIIOnly' WHEN {_has('\\x{FDD0}')} THEN 'Unrestricted' WHEN {_has('\\p{Cyrillic}')} AND {_has('\\p{Latin}')} THEN (CASE WHEN {_has(_NOT_ALLOWED)} THEN 'Unrestricted' ELSE 'MinimallyRestrictive' END) "
+        f"WHEN {_has('[\\p{Hebrew}\\p{Arabic}]')} AND {_has('\\p{Latin}')} THEN 'ModeratelyRestrictive' ELSE 'SingleScript' END"
+    )
+    forbidden = f"[{_IGNORABLE}\\x{{FFF9}}-\\x{{FFFB}}]"
+    out = families | {
+        "normalize_nfc": _d("doc_id, md5(nfc_normalize(t)) AS digest"),
+        "is_nfc": _d("doc_id, nfc_normalize(t) = t AS nfc"),
+        # characters that NFKD makes longer, by how much: a base and a mark, a ligature of eighteen
+        "normalize_nfkd_length": _d(f"doc_id, (length(t) + {_count(_ACCENTED[1:-1])} + 17 * {_count(chr(0xFDFA))})::INTEGER AS chars"),
+        "fold_case": _d("doc_id, md5(replace(replace(lower(replace(t, 'İ', 'i̇')), 'ß', 'ss'), 'ẞ', 'ss')) AS digest"),
+        "to_upper": _d(f"doc_id, (length(t) + {_count('ß')})::INTEGER AS chars"),
+        "stream_safe": _d(f"doc_id, NOT {_has(_NONSTARTER + '{31,}')} AS safe"),
+        "graphemes": _d("doc_id, length_grapheme(t)::INTEGER AS graphemes"),
+        "restriction_level": _d(f"doc_id, {level} AS level"),
+        "safe_for_code": _d(f"doc_id, NOT {_has(_BIDI)} AND ({level}) IN ('ASCIIOnly', 'SingleScript') AS safe"),
+        "printable": _d(f"doc_id, NOT {_has(validate.CONTROL)} AND NOT {_has(forbidden)} AND nfc_normalize(t) = t AS printable"),
+        "utf16_bytes": _d("doc_id, (2 * (length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))))::BIGINT AS bytes"),
+        "utf32_bytes": _d("doc_id, (4 * length(t))::BIGINT AS bytes"),
+        "forbidden_controls": _d(f"doc_id, CASE WHEN {_has(validate.CONTROL)} THEN strlen(regexp_replace(t, '(?s){validate.CONTROL}.*', ''))::INTEGER END AS offset"),
+        "first_forbidden": f"WITH d AS (SELECT doc_id, regexp_extract({PLANTED}, '{forbidden}') AS c FROM documents) SELECT doc_id, CASE WHEN c = '' THEN NULL "
+        + " ".join(f"WHEN regexp_matches(c, '{p}') THEN '{k}'" for k, p in validate.FORBIDDEN.items()) + " ELSE 'defaultIgnorable' END AS forbidden FROM d",
+        "code_points": f"SELECT unicode(c) AS cp, count(*) AS n FROM (SELECT unnest(regexp_extract_all({PLANTED}, '(?s).')) AS c FROM documents) GROUP BY ALL",
+        "decoded_tags": _d("doc_id, array_to_string(list_transform(regexp_extract_all(t, '[\\x{E0020}-\\x{E007E}]'), lambda c: chr((unicode(c) - 917504)::INTEGER)), '') AS ascii"),
+        "glitch_tokens": "SELECT doc_id, " + " OR ".join(f"contains(t, '{w}')" for w in registry.GLITCH_TOKENS) + f" AS glitch FROM (SELECT doc_id, concat({PLANTED}, CASE WHEN doc_id % 5 = 0 THEN ' petertodd' ELSE 'petertodd' END) AS t FROM documents)",
+        "selector_payloads": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'javascript' WHEN 1 THEN 'shell' WHEN 2 THEN 'ascii' ELSE 'binary' END AS hint, CASE doc_id % 4 WHEN 0 THEN '6576616c283129' WHEN 1 THEN '6375726c2078' WHEN 2 THEN '68690a' ELSE '00ff' END AS payload FROM documents",
+        "registered_emoji": "SELECT r.kind, count(*) AS documents FROM documents JOIN (VALUES (0, 'basic'), (1, 'flag'), (2, 'modifier'), (3, 'keycap'), (4, 'tag'), (5, 'zwj'), (6, 'none'), (7, 'none')) r(k, kind) ON doc_id % 8 = r.k GROUP BY ALL",
+        "orientations": _d(f"doc_id, (length(t) - {_count('Ａ．ａｂ⌚👋👨💻😀🏻🏼🏽')})::INTEGER AS rotated"),
+    }
+    count = lambda k: f"(length(t) - length(regexp_replace(t, '{k}', '', 'g')))::BIGINT"
+    props = {"sc=Latin": "\\p{Latin}", "sc=Hebrew": "\\p{Hebrew}", "sc=Cyrillic": "\\p{Cyrillic}", "Emoji_Presentation": "[\\x{231A}\\x{231B}\\x{1F3FB}-\\x{1F3FF}\\x{1F400}-\\x{1F4FC}\\x{1F600}-\\x{1F64F}]"}
+    out["script_counts"] = " UNION ALL ".join(f"SELECT doc_id, '{p}' AS prop, {count(k)} AS n FROM (SELECT doc_id, {PLANTED} AS t FROM documents) WHERE regexp_matches(t, '{k}')" for p, k in props.items())
+    return out | _report_sql(families) | _name_sql()
