@@ -197,7 +197,7 @@ def read_words(counts: DataFrame, order: int, classes: list[str]) -> list[tuple[
     t, out = counts.toArrow().combine_chunks(), []
     for c in classes:
         own = t.filter(pc.equal(t["cls"], c))
-        batch = pa.RecordBatch.from_arrays([pa.array(own["word"].to_pylist(), pa.large_string())], ["word"])
+        batch = pa.RecordBatch.from_arrays([own["word"].cast(pa.large_string()).combine_chunks()], ["word"])
         grams, number = [np.empty((0, order), np.uint32)], [np.empty(0, np.int64)]
         for lo, hi, raw, offsets in text_chunks(batch, "word"):
             cps, places, size = word_sequences(raw, offsets, order)
@@ -228,7 +228,7 @@ def read_counts(counts: DataFrame, order: int, classes: list[str]) -> list[tuple
 
 def kneser_ney(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[str], order: int, sequences=text_sequences) -> Model:
     """The model of each class's counts."""
-    every = np.concatenate([g for g, _ in by_class]) if by_class else np.empty((0, order), np.uint32)
+    every = by_class[0][0] if len(by_class) == 1 else np.concatenate([g for g, _ in by_class]) if by_class else np.empty((0, order), np.uint32)
     symbols = len(np.unique(every[:, -1:])) + 1  # what can be predicted, and any other code point
     lower = np.full((1, len(classes)), 1.0 / symbols)  # order 0: any code point
     lower_keys = np.zeros(1, np.uint64)
@@ -258,25 +258,40 @@ def kneser_ney(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[str]
     return Model(classes, out_grams, out_contexts, np.asarray(unseen, np.float32), sequences)
 
 
-def shared_backoff(by_class: list[tuple[np.ndarray, np.ndarray]], classes: list[str], order: int, cut: float, sequences=text_sequences) -> Model:
+def shared_counts(by_class: list[tuple[np.ndarray, np.ndarray]], order: int, sequences=text_sequences) -> tuple[Model, np.ndarray, np.ndarray] | None:
+    """What classes that back off to one model share, whatever the cut: the Kneser-Ney model of all their counts,
+    the context of each of its longest n-grams, and each class's count of them. None if a class has none."""
+    if not all(len(g) for g, _ in by_class):
+        return None
+    names = [_hash(g) for g, _ in by_class]
+    k, at, inverse = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([n for _, n in by_class]), len(k))
+    del inverse
+    own = np.zeros((len(k), len(by_class)), np.float32)  # exact: a sample has under 2 ** 24 code points
+    for c, (name, (_, n)) in enumerate(zip(names, by_class, strict=True)):
+        own[np.searchsorted(k, name), c] = n
+    top = np.concatenate([g for g, _ in by_class])[at]
+    del by_class, names, at, k
+    base = kneser_ney([(top, total)], ["all"], order, sequences)
+    return base, np.searchsorted(base.contexts[-1][0].values, _hash(top, 1)), own
+
+
+def with_cut(shared: tuple[Model, np.ndarray, np.ndarray], classes: list[str], cut: float) -> Model:
     """Classes that back off to one Kneser-Ney model of all their counts: a class's probability is
     its own count less `cut`, over its context's count, and the mass so cut spread like that model.
     What a class has seen `cut` times or less thus weighs as much as all classes together say."""
-    every, number = np.concatenate([g for g, _ in by_class]), np.concatenate([n for _, n in by_class])
-    k, at, inverse = np.unique(_hash(every), return_index=True, return_inverse=True)
-    base = kneser_ney([(every[at], np.bincount(inverse, number, len(at)))], ["all"], order, sequences)
-    contexts = base.contexts[-1][0].values
-    where = np.searchsorted(contexts, _hash(every[at], 1))
-    own = np.zeros((len(k), len(classes)))
-    for c, (grams, n) in enumerate(by_class):
-        own[np.searchsorted(k, _hash(grams)), c] = n
-    total, lost = _sums(own, where, len(contexts)), _sums(np.minimum(own, cut), where, len(contexts))
+    base, where, own = shared
+    contexts = len(base.contexts[-1][0].values)
+    total, lost = _sums(own, where, contexts), _sums(np.minimum(own, np.float32(cut)), where, contexts)
     weight = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
-    p = np.maximum(own - cut, 0) / np.maximum(total, 1)[where] + weight[where] * np.exp(base.grams[-1][1])
-    grams, ctx = base.grams, base.contexts
-    grams[-1] = (grams[-1][0], np.log(p).astype(np.float32))
+    p = np.empty(own.shape, np.float32)
+    lower = np.exp(base.grams[-1][1][:, 0].astype(np.float64))
+    for c in range(own.shape[1]):
+        p[:, c] = np.log(np.maximum(own[:, c] - cut, 0) / np.maximum(total[:, c], 1)[where] + weight[:, c][where] * lower)
+    grams, ctx = list(base.grams), list(base.contexts)
+    grams[-1] = (grams[-1][0], p)
     ctx[-1] = (ctx[-1][0], (np.log(weight) + ctx[-1][1]).astype(np.float32))
-    return Model(classes, grams, ctx, np.repeat(base.unseen, len(classes)), sequences)
+    return Model(classes, grams, ctx, np.repeat(base.unseen, len(classes)), base.sequences)
 
 
 def _sums(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:

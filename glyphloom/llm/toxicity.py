@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, stored, table, text_chunks
-from .kneser import Model, count_words, read_words, sample, shared_backoff, within, word_sequences
+from .kneser import Model, count_words, read_words, sample, shared_counts, with_cut, within, word_sequences
 
 ORDER = 8
 ROWS, HELD = 3000, 1000
@@ -107,13 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, rows: int = ROWS
     d = sample(docs.join(F.broadcast(chosen), "key"), F.col("label"), rows, held)
     d = within(stored(d.select("cls", "slice", "text"), "toxicity-sample"), "text", chars)
     classes = ["0", "1"]
-    counts = read_words(count_words(d.where("slice = 0")), order, classes)
-    if not all(len(g) for g, _ in counts):
+    parts = shared_counts(read_words(count_words(d.where("slice = 0")), order, classes), order, word_sequences)
+    if parts is None:
         return None
     best = None
     for cut in CUTS:
-        model = shared_backoff(counts, classes, order, cut, word_sequences)
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = docs.sparkSession.sparkContext.broadcast(with_cut(parts, classes, cut))
         rest = _evidence(d.where("slice = 1"), ["cls"], "text", shared).select("cls", "evidence").toPandas()  # 2 * held rows at most
         shared.destroy()
         y = (rest["cls"] == "1").to_numpy().astype(float)
@@ -124,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, rows: int = ROWS
         p = np.clip(1 / (1 + np.exp(-(x * w[0] + w[1]))), 1e-9, 1 - 1e-9)
         loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
         if best is None or loss < best[0]:
-            best = loss, model, np.array([max(w[0], 0.0), w[1]])
-    return best[1], best[2]
+            best = loss, cut, np.array([max(w[0], 0.0), w[1]])
+    return with_cut(parts, classes, best[1]), best[2]
 
 
 def probability(given: Column, w: np.ndarray) -> Column:
