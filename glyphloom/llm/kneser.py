@@ -208,6 +208,8 @@ def read_words(counts: DataFrame, order: int, classes: list[str]) -> list[tuple[
         grams, number = np.concatenate(grams), np.concatenate(number)
         _, at, which = np.unique(_hash(grams), return_index=True, return_inverse=True)
         out.append((grams[at], np.bincount(which, number, len(at)).astype(np.int64)))
+    del t, own, batch
+    pa.default_memory_pool().release_unused()  # the driver builds the model next
     return out
 
 
