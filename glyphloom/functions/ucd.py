@@ -178,7 +178,16 @@ def members(prop: str) -> frozenset[int]:
 
 @cache
 def with_bidi(*classes: str) -> frozenset[int]:
-    return frozenset(c for c in range(LAST + 1) if not 0xD800 <= c <= 0xDFFF and bidi_class(c) in classes)
+    return frozenset().union(*[_by_bidi().get(c, ()) for c in classes])
+
+
+@cache
+def _by_bidi() -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for c in range(LAST + 1):
+        if not 0xD800 <= c <= 0xDFFF:
+            out.setdefault(bidi_class(c), []).append(c)
+    return out
 
 
 def bidi_class(cp: int) -> str:
@@ -346,19 +355,23 @@ def zwj_alphabet() -> frozenset[int]:
 def java_class(cps: Iterable[int], negate: bool = False) -> str:
     """A java.util.regex character class of code points. Supplementary ones stand for themselves: only
     then does Java look behind by code points rather than by UTF-16 units."""
+    return _ranges_class(spans(sorted(cps)), negate)
+
+
+def _ranges_class(ranges: list[tuple[int, int]], negate: bool = False) -> str:
     name = lambda c: chr(c) if c > 0xFFFF else f"\\x{{{c:X}}}"
-    body = "".join(name(a) + (f"-{name(b)}" if b > a else "") for a, b in spans(sorted(cps)))
+    body = "".join(name(a) + (f"-{name(b)}" if b > a else "") for a, b in ranges)
     return f"[{'^' if negate else ''}{body}]"
 
 
 def quick_class(cps: Iterable[int], negate: bool = False) -> str:
     """A java.util.regex pattern for one character of a class of many ranges. A Java class tests its ranges
     in turn, so the ranges are parted by block, and a block's are tried only for characters in it."""
-    every, parts = sorted(cps), []
+    every, parts = spans(sorted(cps)), []
     edges = (0, 0x80, 0x300, 0x590, 0x900, 0x1100, 0x2000, 0x2E80, 0xA000, 0xFB00, 0x10000, 0x1F000, 0xE0000, LAST + 1)
     for a, b in zip(edges, edges[1:]):  # noqa: B905
-        if some := [c for c in every if a <= c < b]:
-            parts.append(f"(?=[\\x{{{a:X}}}-\\x{{{b - 1:X}}}]){java_class(some)}")
+        if some := [(max(lo, a), min(hi, b - 1)) for lo, hi in every if lo < b and hi >= a]:
+            parts.append(f"(?=[\\x{{{a:X}}}-\\x{{{b - 1:X}}}]){_ranges_class(some)}")
     # most text is below the first of them: one test turns its characters away
-    body = f"(?:(?=[\\x{{{every[0]:X}}}-\\x{{{every[-1]:X}}}])(?:{'|'.join(parts)}))" if len(parts) > 1 or len(spans(every)) > 8 else java_class(every)
+    body = f"(?:(?=[\\x{{{every[0][0]:X}}}-\\x{{{every[-1][1]:X}}}])(?:{'|'.join(parts)}))" if len(parts) > 1 or len(every) > 8 else _ranges_class(every)
     return f"(?:(?!{body})[\\s\\S])" if negate else body

@@ -21,6 +21,7 @@ from ..functions import ucd
 VERDICT = "struct<kind: string, sub_threat: string, positions: array<int>>"
 #: A noncharacter that marks places inside expressions; the text's own are put away first.
 _MARK = "\U0010ffff"
+FEW = 256
 TAGS, VS, ZWJ = r"[\x{E0000}-\x{E007F}]", r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{180B}-\x{180D}]", "‍"
 WIDE = r"[\x{FF01}-\x{FFEF}]"
 BIDI = r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"
@@ -67,8 +68,17 @@ def first(t: Column, pattern: str) -> Column:
 
 
 def every(t: Column, pattern: str) -> Column:
-    """Positions of the characters that match a class."""
-    return F.filter(F.transform(F.split(t, ""), lambda c, i: F.when(c.rlike(pattern), i)), lambda x: x.isNotNull())
+    """Positions of the characters that match a class. Few are summed up from the lengths of what lies between;
+    for many, each character is looked at, as an array that grows by one is copied each time."""
+    zero = F.struct(F.lit(0).alias("at"), _none().alias("found"))
+
+    def step(a: Column, part: Column) -> Column:
+        at = a["at"] + F.char_length(part)
+        return F.struct((at + 1).alias("at"), F.concat(a["found"], F.array(at)).alias("found"))
+
+    few = lambda parts: F.aggregate(F.slice(parts, 1, F.size(parts) - 1), zero, step, lambda a: a["found"])
+    many = F.filter(F.transform(F.split(t, ""), lambda c, i: F.when(c.rlike(pattern), i)), lambda x: x.isNotNull())
+    return once(F.split(t, pattern, -1), lambda parts: F.when(F.size(parts) <= FEW, few(parts)).otherwise(many))
 
 
 def marked(t: Column, pattern: str) -> Column:
@@ -85,6 +95,11 @@ def one(p: Column) -> Column:
     return F.array(p)
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 # ---- covert channels
 
 
@@ -176,7 +191,7 @@ def surrogate_reassembly_bytes(b: Column | str) -> Column:
 
 def bidi_control_balance(c: Column | str) -> Column:
     t = _text(c)
-    marks = F.filter(F.transform(F.split(t, ""), lambda x, i: F.struct(F.ascii(x).alias("c"), i.alias("i"))), lambda x: x["c"].between(0x202A, 0x202E) | x["c"].between(0x2066, 0x2069))
+    signs = F.regexp_extract_all(t, F.lit(BIDI), F.lit(0))
     zero = F.struct(F.lit(0).alias("e"), F.lit(0).alias("s"), F.lit(0).alias("deep"), _none().alias("lost"))
 
     def step(a: Column, x: Column) -> Column:
@@ -187,13 +202,16 @@ def bidi_control_balance(c: Column | str) -> Column:
         lost = (pops_e & (a["e"] == 0)) | (pops_s & (a["s"] == 0))
         return F.struct(e.alias("e"), s.alias("s"), F.greatest(a["deep"], e + s).alias("deep"), F.when(lost, F.concat(a["lost"], F.array(x["i"]))).otherwise(a["lost"]).alias("lost"))
 
-    def finish(a: Column) -> Column:
-        at = F.transform(marks, lambda x: x["i"])
+    def finish(a: Column, at: Column) -> Column:
         return F.when(a["deep"] > 125, F.struct(F.lit("DepthExceeded").alias("sub"), at.alias("at"))).when(F.size(a["lost"]) > 0, F.struct(F.lit("OrphanPop").alias("sub"), a["lost"].alias("at"))).when(
             a["e"] > 0, F.struct(F.lit("UnbalancedEmbedding").alias("sub"), at.alias("at"))).when(a["s"] > 0, F.struct(F.lit("UnbalancedIsolate").alias("sub"), at.alias("at")))
 
-    end = F.when(t.rlike(BIDI), F.aggregate(marks, zero, step, finish))
-    return verdict(t, (end.isNotNull(), end["sub"], end["at"]))
+    def walk(at: Column) -> Column:
+        marks = F.zip_with(signs, at, lambda x, i: F.struct(F.ascii(x).alias("c"), i.alias("i")))
+        return F.aggregate(marks, zero, step, lambda a: finish(a, at))
+
+    end = F.when(t.rlike(BIDI), once(every(t, BIDI), walk))
+    return once(end, lambda x: verdict(t, (x.isNotNull(), x["sub"], x["at"])))
 
 
 NONCHARACTERS = "[\\x{FDD0}-\\x{FDEF}" + "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" if p else "\\x{FFFE}\\x{FFFF}" for p in range(17)) + "]"
@@ -202,7 +220,8 @@ C0, C1 = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}]", r"[\x{80}-\x{9F}]"
 
 def noncharacter_control(c: Column | str) -> Column:
     t = _text(c)
-    any_ = f"(?:{NONCHARACTERS}|{C0}|{C1})"
+    # what most text is made of is turned away by one test
+    any_ = f"(?![\\t\\n\\r -~\\x{{A0}}-\\x{{FDCF}}])(?:{NONCHARACTERS}|{C0}|{C1})"
     hit, at = F.regexp_extract(t, f"({any_})", 1), one(first(t, any_))
     return verdict(t, (~t.rlike(any_), None, _none()), (hit.rlike(C0), "C0Control", at), (hit.rlike(C1), "C1Control", at), (F.lit(True), "Noncharacter", at))
 
@@ -230,16 +249,20 @@ def differs_at(a: str, b: str) -> int | None:
     return None if a == b else next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
 
 
+@ucd.derived
+def _leaves_letters(x: str) -> bool:
+    return bool(T.letters_of(x))
+
+
 def homoglyph_of(s: str) -> dict:
     # a skeleton is no shorter than the characters that leave letters in it, so long texts need none
-    longest = max(map(len, _target_letters()))
-    leaves = {x: bool(T.letters_of(x)) for x in set(s)} if len(s) > longest else {}
-    short = len(s) <= longest or sum(leaves[x] for x in s) <= longest
+    longest, used = max(map(len, _target_letters())), set(s)
+    short = len(s) <= longest or sum(s.count(x) for x in used if _leaves_letters(x)) <= longest
     if short and any(name != s for name in _target_letters().get(T.letters_of(s), ())):
         return _hazard("TargetMatch", [])
     for sub, lo, hi in (("MathAlpha", 0x1D400, 0x1D7FF), ("WidthClass", 0xFF01, 0xFFEF)):
-        if (at := next((i for i, x in enumerate(s) if lo <= ord(x) <= hi), None)) is not None:
-            return _hazard(sub, [at])
+        if found := [s.index(x) for x in used if lo <= ord(x) <= hi]:
+            return _hazard(sub, [min(found)])
     nfc = ud.normalize("NFC", s)
     if nfc != s:
         return _hazard("DecompositionSwap", [next((i for i, (x, y) in enumerate(zip(s, nfc)) if x != y), 0)])  # noqa: B905
@@ -280,7 +303,10 @@ def mixed_script_admissibility(c: Column | str) -> Column:
 
 
 def _is_registered_zwj(t: Column) -> Column:
-    return t.contains(ZWJ) & t.isin(*sorted(ucd.zwj_sequences()))
+    # one literal, as a list of more than a thousand is slow to send to the JVM
+    known = sorted(ucd.zwj_sequences())
+    lines = F.lit("\n".join(["", *known, ""]))
+    return t.contains(ZWJ) & (F.char_length(t) <= max(map(len, known))) & ~t.contains("\n") & F.contains(lines, F.concat(F.lit("\n"), t, F.lit("\n")))
 
 
 def emoji_zwj_integrity(c: Column | str) -> Column:
@@ -353,7 +379,7 @@ def _strong() -> tuple[str, str]:
 def rtl_injection(c: Column | str) -> Column:
     t = _text(c)
     rtl, ltr = _strong()
-    leads = t.rlike(f"\\A(?:(?!{ltr})(?!{rtl})[\\s\\S])*{rtl}")
+    leads = F.regexp_extract(t, f"({ltr}|{rtl})", 1).rlike(rtl)
     longest = F.array_max(F.transform(F.regexp_extract_all(t, F.lit(f"{rtl}{{4,}}"), F.lit(0)), lambda x: F.char_length(x)))
     run = F.char_length(F.regexp_replace(t, F.concat(F.lit(f"(?s){rtl}{{"), longest.cast("string"), F.lit("}.*")), F.lit("")))
     found = verdict(
@@ -585,11 +611,11 @@ def ai_watermark_detectability(c: Column | str, tolerance: int = 0) -> Column:
     n = lambda k: F.regexp_count(t, F.lit(k))
     nnbsp, zwsp, lone_vs, lone_zwj, rest = n(" "), n("​"), n(alone(vs)), n(alone(ZWJ)), n(hidden)
     kinds = sum((x > 0).cast("int") for x in (nnbsp, lone_vs, lone_zwj, rest))
-    word = F.array(*[F.lit(w) for w in FAVOURED])
-    hit = F.get(F.filter(word, lambda w: F.contains(t, w)), F.lit(0))
-    visible = [
-        ((n("[‘’“”]") >= 2) & ~t.rlike("[\"']"), "SmartQuoteAlternation", every(t, "[‘’“”]")),
-        ((n("—") >= 2) & ~t.contains("-"), "EmDashPattern", every(t, "—")),
+    word = F.split(F.lit("\n".join(FAVOURED)), "\n")
+    favoured = F.get(F.filter(word, lambda w: F.contains(t, w)), F.lit(0))
+    visible = lambda hit: [
+        (t.rlike("[‘’“”][^‘’“”]*[‘’“”]") & ~t.rlike("[\"']"), "SmartQuoteAlternation", every(t, "[‘’“”]")),
+        (t.rlike("—[^—]*—") & ~t.contains("-"), "EmDashPattern", every(t, "—")),
         (hit.isNotNull(), "StatisticalTokenChoice", one(F.char_length(F.split_part(t, hit, F.lit(1))))),
     ]
     unseen = [
@@ -600,8 +626,8 @@ def ai_watermark_detectability(c: Column | str, tolerance: int = 0) -> Column:
         (lone_vs > 0, "VariationSelectorCarrier", marked(t, alone(vs))),
         (lone_zwj > 0, "ZwjNonEmoji", marked(t, alone(ZWJ))),
     ]
-    full = verdict(t, *unseen, *visible, (rest > 0, "DefaultIgnorableCarrier", every(t, hidden)))
-    return F.when(~T.is_ascii(t) & t.rlike(every_hidden), full).otherwise(verdict(t, *visible))
+    full = lambda hit: verdict(t, *unseen, *visible(hit), (rest > 0, "DefaultIgnorableCarrier", every(t, hidden)))
+    return once(favoured, lambda hit: F.when(~T.is_ascii(t) & t.rlike(every_hidden), full(hit)).otherwise(verdict(t, *visible(hit))))
 
 
 FAMILIES: dict[str, Callable[..., Column]] = {
