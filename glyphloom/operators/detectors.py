@@ -283,7 +283,9 @@ def mixed_script_of(s: str) -> dict:
     outside = {x for x in set(s) if ord(x) not in ucd.allowed_identifier()}
     if outside:
         return _hazard("RestrictedStatusCp", [i for i, x in enumerate(s) if x in outside])
-    has = {k: [i for i, x in enumerate(s) if k in T.scripts_of(x)] for k in ("Latn", "Cyrl", "Grek")}
+    # marks and signs that several scripts share are of none
+    own = {x: T.scripts_of(x) for x in set(s) if not T._is_shared(x)}
+    has = {k: [i for i, x in enumerate(s) if k in own.get(x, ())] for k in ("Latn", "Cyrl", "Grek")}
     for sub, k in (("LatinCyrillic", "Cyrl"), ("LatinGreek", "Grek")):
         if has["Latn"] and has[k]:
             return _hazard(sub, has[k])

@@ -102,4 +102,9 @@ def test_padded_target(tmp_path):
         assert D.homoglyph_of(double + "\u2e31" * 200)["sub_threat"] == "TargetMatch"
     finally:
         D.ucd.use_data_dir(None)
-    
\ No newline at end of file
+    
+
+def test_shared_marks_are_of_no_script(spark):
+    """An acute's Script_Extensions name Cyrillic and Greek, but it is Inherited: with a Latin base it mixes nothing."""
+    d = spark.createDataFrame([("e" + "́" * 35,), ("éе",)], "t string").select(D.mixed_script_admissibility("t").alias("v")).select("v.sub_threat", "v.positions")
+    assert [tuple(r) for r in d.collect()] == [(None, []), ("LatinCyrillic", [2])]
