@@ -268,7 +268,7 @@ def level_of(s: str) -> str:
     if s.isascii():
         return LEVELS[0]
     sets = script_sets(s)
-    if sets and frozenset.intersection(*sets):
+    if not sets or frozenset.intersection(*sets):  # of shared characters only: any script is its own
         return LEVELS[1]
     if covered_cjk(sets):
         return LEVELS[2]

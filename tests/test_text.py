@@ -145,3 +145,9 @@ def test_manifest(spark, tmp_path):
     listed = spark.createDataFrame([("a", hashlib.sha256(b"a").hexdigest()), ("b", "0"), ("c", "0")], "name string, sha256 string")
     got = {r["name"]: r["status"] for r in sources.attest(sources.digests(spark, str(tmp_path)), listed).collect()}
     assert got == {"a": "ok", "b": "changed", "c": "missing", "x": "unlisted"}
+
+
+def test_level_without_scripts(spark):
+    """Numbers and signs are of one script, whichever it is, as UTS #39 resolves them."""
+    assert one(spark, T.restriction_level, "435952⌚") == one(spark, T.restriction_level, "€") == "SingleScript"
+    assert one(spark, T.restriction_level, "1﷐") == "Unrestricted"
