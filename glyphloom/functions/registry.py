@@ -85,22 +85,24 @@ def executable_hint(b: Column | str) -> Column:
 @ucd.derived
 def orientation_classes() -> dict[str, str]:
     """Vertical_Orientation (UAX #50) by value as patterns of one character: of VerticalOrientation.txt in the data
-    folder or of the session's ICU."""
+    folder or of the session's ICU. `upright` is U and Tu, `other` all but R."""
+    cps: dict[str, list[int]] = {}
     if rows := ucd.data_lines("VerticalOrientation.txt"):
-        cps: dict[str, list[int]] = {}
         for r in rows:
             cps.setdefault(r[1], []).extend(ucd._range(r[0]))
-        return {k: ucd.quick_class(cps[k]) for k in ("U", "Tr", "Tu")}
-    if ucd.icu() is None:
+    elif ucd.icu() is None:
         raise LookupError("vertical orientation needs a data folder or a session")
-    found = {k: ucd._icu_set(f"[:Vertical_Orientation={k}:]")[0] for k in ("U", "Tr", "Tu")}
-    return {k: ucd.quick_class(c for a, b in v for c in range(a, b + 1)) for k, v in found.items()}
+    else:
+        cps = {k: [c for a, b in ucd._icu_set(f"[:Vertical_Orientation={k}:]")[0] for c in range(a, b + 1)] for k in ("U", "Tr", "Tu")}
+    sets = {k: cps[k] for k in ("U", "Tr", "Tu")} | {"upright": cps["U"] + cps["Tu"], "other": cps["U"] + cps["Tu"] + cps["Tr"]}
+    return {k: ucd.quick_class(v) for k, v in sets.items()}
 
 
 def orientations(c: Column | str) -> Column:
-    """Each character's Vertical_Orientation: U, R, Tu or Tr."""
-    k = orientation_classes()
-    return F.transform(F.filter(F.split(_text(c), ""), lambda x: x != ""), lambda x: F.when(x.rlike(k["U"]), "U").when(x.rlike(k["Tr"]), "Tr").when(x.rlike(k["Tu"]), "Tu").otherwise("R"))
+    """Each character's Vertical_Orientation: U, R, Tu or Tr. One test finds the texts that are R throughout."""
+    t, k = _text(c), orientation_classes()
+    each = F.transform(F.filter(F.split(t, ""), lambda x: x != ""), lambda x: F.when(~x.rlike(k["other"]), "R").when(x.rlike(k["U"]), "U").when(x.rlike(k["Tr"]), "Tr").otherwise("Tu"))
+    return F.when(t.rlike(k["other"]), each).when(t.isNotNull(), F.array_repeat(F.lit("R"), F.char_length(t)))
 
 
 def upright(c: Column | str) -> Column:
@@ -108,6 +110,11 @@ def upright(c: Column | str) -> Column:
     return F.transform(orientations(c), lambda v: v.isin("U", "Tu"))
 
 
+def rotated_count(c: Column | str) -> Column:
+    """How many characters don't stand upright, in one pass over the text."""
+    return F.char_length(F.regexp_replace(_text(c), orientation_classes()["upright"], ""))
+
+
 def needs_substitution(c: Column | str) -> Column:
     """Positions of the characters that ask for a vertical glyph."""
     return F.filter(F.transform(orientations(c), lambda v, i: F.when(v.isin("Tu", "Tr"), i)), lambda x: x.isNotNull())

@@ -151,3 +151,12 @@ def test_ideographs(spark, tmp_path):
     finally:
         ucd.use_data_dir(None)
     assert one(spark, registry.ideograph_numbers, "三x") == [3.0, None]
+
+
+def test_rotated_count(spark):
+    """One pass over a long text counts what upright() tells apart, in a small part of its time."""
+    cases = ["", "a", "a一、ー\U0001f600é©", "힣ｂ“\U000e0041", "plain é"]
+    d = spark.createDataFrame([(x,) for x in cases], "t string").select(registry.rotated_count("t").alias("n"), registry.upright("t").alias("u"), registry.orientations("t").alias("o"))
+    assert [r["n"] for r in d.collect()] == [r["u"].count(False) for r in d.collect()] == [0, 1, 3, 2, 7]
+    assert [len(r["o"]) for r in d.collect()] == [len(x) for x in cases]
+    assert one(spark, registry.rotated_count, None) is None and one(spark, registry.orientations, None) is None
