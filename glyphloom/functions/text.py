@@ -7,7 +7,9 @@ the JVM: a guard passes null for them and the result falls back to the text itse
 
 from __future__ import annotations
 
+import re
 import unicodedata as ud
+from collections import Counter
 from collections.abc import Callable
 from functools import cache
 
@@ -23,11 +25,14 @@ from . import ucd
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 HANGUL_BASE, L_BASE, V_BASE, T_BASE, V_COUNT, T_COUNT = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
 STREAM_SAFE_LIMIT = 30
+#: Characters that a worker holds as Python objects, besides the text at hand.
+HELD = 1 << 19
 
 
 def vectorised(one: Callable, returns: str, *needs: str) -> Callable[..., Column]:
-    """An Arrow function of one(value, ...); equal values of a batch are computed once. needs names the
-    tables of ucd that it reads: they go to the workers with it."""
+    """An Arrow function of one(value, ...); equal values near each other are computed once. A batch is taken
+    apart value by value, and results go back to Arrow as they come: HELD bounds what is held of either. needs
+    names the tables of ucd that it reads: they go to the workers with it."""
     kind = to_arrow_type(DataType.fromDDL(returns))
     state = ucd.snapshot(needs) if needs else None
 
@@ -35,15 +40,20 @@ def vectorised(one: Callable, returns: str, *needs: str) -> Callable[..., Column
         if state:
             ucd.restore(state)
         known: dict = {}
-        out = []
-        for args in zip(first.to_pylist(), *[r.to_pylist() for r in rest], strict=True):
+        parts, out, held = [], [], 0
+        for scalars in zip(first, *rest, strict=True):
+            args = tuple(x.as_py() for x in scalars)
             if args[0] is None:
                 out.append(None)
                 continue
             if args not in known:
                 known[args] = one(*args)
             out.append(known[args])
-        return pa.array(out, kind)
+            held += sum(len(x) for x in args if isinstance(x, (str, bytes)))
+            if held >= HELD:
+                parts.append(pa.array(out, kind))
+                known, out, held = {}, [], 0
+        return pa.concat_arrays([*parts, pa.array(out, kind)])
 
     return F.arrow_udf(run, returns)
 
