@@ -325,13 +325,24 @@ def is_allowed_identifier(c: Column | str) -> Column:
 # ---- segmentation (UAX #29) and width
 
 
+#: Latin letters and signs that no rule joins to each other, and those between two of them: graphemes by themselves,
+#: one column wide or of ambiguous width.
+PLAIN = "[\x20-\x7e\xa1-\xa8\xaa-\xac\xaf-\u02ff]"
+_INNER = re.compile(f"(?<={PLAIN}){PLAIN}+(?={PLAIN})")
+
+
 def graphemes(c: Column | str) -> Column:
     return arrow(lambda s: regex.findall(r"\X", s), "array<string>")(_text(c))
 
 
 def grapheme_count(c: Column | str) -> Column:
     simple = F.char_length(F.replace(_text(c), F.lit("\r\n"), F.lit("\n")))
-    return F.coalesce(arrow(lambda s: len(regex.findall(r"\X", s)), "int")(F.when(~is_ascii(c), _text(c))), simple)
+
+    def one(s: str) -> int:
+        rest = _INNER.sub("", s)
+        return len(s) - len(rest) + len(regex.findall(r"\X", rest))
+
+    return F.coalesce(arrow(one, "int")(F.when(~is_ascii(c), _text(c))), simple)
 
 
 def words(c: Column | str) -> Column:
