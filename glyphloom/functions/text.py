@@ -366,7 +366,12 @@ def display_width(c: Column | str, ambiguous: int = 1, clusters: bool = True) ->
     def one(s: str) -> int:
         if not clusters:
             return sum(character_width(x, ambiguous) for x in s)
-        return sum(2 if _SHOWN.search(g) else max(character_width(x, ambiguous) for x in g) for g in regex.findall(r"\X", s))
+        rest = _INNER.sub("", s)
+        inner = len(s) - len(rest)
+        if ambiguous != 1:
+            inner = sum((n - rest.count(x)) * character_width(x, ambiguous) for x, n in Counter(s).items() if n > rest.count(x))
+        seen = Counter(regex.findall(r"\X", rest))
+        return inner + sum(n * (2 if _SHOWN.search(g) else max(character_width(x, ambiguous) for x in g)) for g, n in seen.items())
 
     plain = F.char_length(F.regexp_replace(_text(c), r"[\x00-\x1F\x7F]", ""))
     return F.coalesce(arrow(one, "int")(F.when(~is_ascii(c), _text(c))), plain)
