@@ -350,6 +350,12 @@ def words(c: Column | str) -> Column:
     return arrow(lambda s: [w for w in regex.split(r"(?w)\b", s, flags=regex.V1) if w], "array<string>")(_text(c))
 
 
+def word_count(c: Column | str) -> Column:
+    """How many pieces there are between word boundaries."""
+    return arrow(lambda s: sum(map(bool, regex.split(r"(?w)\b", s, flags=regex.V1))), "int")(_text(c))
+
+
+@cache
 def character_width(x: str, ambiguous: int = 1) -> int:
     if ud.category(x) in ("Cc", "Mn", "Me") or x in "\u200c\u200d" or "\ufe00" <= x <= "\ufe0f":
         return 0

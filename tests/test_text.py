@@ -1,12 +1,17 @@
 """Text functions, policy, sources, set-level forms and streams."""
 
 import json
+import re
+import tracemalloc
+import unicodedata as ud
 
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from glyphloom import plans, sources, streaming
-from glyphloom.functions import idna, registry, segment, ucd
+from glyphloom.functions import bidi, idna, registry, segment, ucd
 from glyphloom.functions import text as T
 from glyphloom.operators import policy as P
 
@@ -151,3 +156,30 @@ def test_level_without_scripts(spark):
     """Numbers and signs are of one script, whichever it is, as UTS #39 resolves them."""
     assert one(spark, T.restriction_level, "435952⌚") == one(spark, T.restriction_level, "€") == "SingleScript"
     assert one(spark, T.restriction_level, "1﷐") == "Unrestricted"
+
+
+def test_few_values_are_held(spark):
+    """A batch's texts and results are not all Python objects at once."""
+    texts = pa.array([f"{i} " + "éa bc " * 5000 for i in range(100)] + [None, "x"])
+    f = T.vectorised(lambda x: x.split(" "), "array<string>").func
+    tracemalloc.start()
+    out = f(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [x and x.split(" ") for x in texts.to_pylist()]
+    assert peak < 25_000_000
+
+
+def test_counts_without_arrays(spark):
+    """Counts and widths, which skip the letters that stand by themselves, agree with the pieces counted one by one."""
+    plain = [chr(x) for x in range(0x300) if re.match(T.PLAIN, chr(x))]
+    assert all(regex.fullmatch(r"[\p{GCB=Other}--\p{Extended_Pictographic}]", x, regex.V1) and ud.east_asian_width(x) not in "FW" and ud.category(x) not in ("Cc", "Mn", "Me") for x in plain)
+    odd = ["", "é", "éa", "aé\u0301b¡x", "né\u200d\U0001f468\u200d\U0001f4bbab", "7\ufe0f\u20e3é", "漢字éab", "é\r\nb", "\u0600aé¨ bc", "\U0001f1e9\U0001f1eaé\U0001f1e9", "©é®", "a\xadé b", "שלום é. Ab c? De", "\u202eab é", "क्षé"]
+    d = spark.createDataFrame([(x,) for x in odd], "t string").select(
+        "t", T.grapheme_count("t").alias("g"), T.graphemes("t").alias("gs"), T.display_width("t").alias("w"), T.display_width("t", 2).alias("w2"), T.word_count("t").alias("n"), F.size(T.words("t")).alias("ns"),
+        segment.sentence_count("t").alias("s"), F.size(segment.sentences("t")).alias("ss"), bidi.visual("t").alias("v"), bidi.resolve("t")["visual"].alias("vs"),
+    )
+    for r in d.collect():
+        width = lambda a: sum(2 if T._SHOWN.search(g) else max(T.character_width(x, a) for x in g) for g in r["gs"])  # noqa: B023, E731
+        assert (r["g"], r["n"], r["s"], r["v"]) == (len(r["gs"]), r["ns"], r["ss"], r["vs"])
+        assert (r["w"], r["w2"]) == (width(1), width(2))
